@@ -135,6 +135,8 @@ CLEANERS = {
 }
 
 
-def silver_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Apply every cleaner to its raw entity."""
-    return {name: fn(raw[src]) for name, (src, fn) in CLEANERS.items()}
+def silver_tables(raw) -> dict[str, DataFrame]:
+    """Apply every cleaner to its raw entity (lazily: a cleaner is planned
+    only when its table is asked for)."""
+    from ..sources.fixtures import LazyFrames
+    return LazyFrames({name: (lambda fn=fn, src=src: fn(raw[src])) for name, (src, fn) in CLEANERS.items()})

@@ -12,9 +12,16 @@ from ..operators.silver import silver_tables
 from ..sources.fixtures import raw_entities
 
 
+_CLEAN: dict[tuple, dict] = {}
+
+
 def clean_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Silver tables derived from the driver's parquet tables (lazy)."""
-    return silver_tables(raw_entities(spark, sf_dir))
+    """Silver tables derived from the driver's parquet tables (lazy; one set
+    of plan objects per application and folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _CLEAN:
+        _CLEAN[key] = silver_tables(raw_entities(spark, sf_dir))
+    return _CLEAN[key]
 
 
 def gold_from(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -15,6 +15,7 @@ pruning reach the scans.
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,28 @@ LOYAL_SEGMENTS = ("BUILDING", "HOUSEHOLD")
 RAW_TABLES = ("region", "nation", "customer", "orders", "part", "events")
 
 
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def _session_key(spark: SparkSession) -> str:
+    return spark.sparkContext.applicationId
+
+
+def memo_per_source(fn):
+    """Build each derived DataFrame once per (application, sf_dir): the plan
+    objects are immutable, so every query of a run shares them (and the file
+    listing / footer reads of their scans)."""
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        key = (fn.__name__, _session_key(spark), sf_dir.rstrip("/"), args)
+        df = _MEMO.get(key)
+        if df is None:
+            df = _MEMO[key] = fn(spark, sf_dir, *args)
+        return df
+    return wrapper
+
+
+@memo_per_source
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -50,6 +73,7 @@ def _event_name(col: Column) -> Column:
     return expr.otherwise(col)
 
 
+@memo_per_source
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ev``: events with a session id (user x day-of-year), shop event names
     and the integer ``k`` from the props JSON."""
@@ -63,6 +87,7 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo_per_source
 def _user_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer x nation x region -> user id and the three user dimensions."""
     c = read_table(spark, sf_dir, "customer")
@@ -80,6 +105,7 @@ def _user_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo_per_source
 def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     # Pre-aggregate orders to one row per customer before the join.
@@ -92,8 +118,9 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_sessions(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
-    ev = ev if ev is not None else base_events(spark, sf_dir)
+@memo_per_source
+def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = base_events(spark, sf_dir)
     g = ev.groupBy("session_id", "user_id").agg(
         F.min("ts").alias("session_start"),
         F.min_by("k", "ts").alias("k0"),
@@ -107,15 +134,17 @@ def raw_sessions(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None)
     )
 
 
+@memo_per_source
 def _events_with_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ev`` joined to its raw session and raw user (the shared part of
     raw events and raw orders)."""
     ev = base_events(spark, sf_dir)
-    s = raw_sessions(spark, sf_dir, ev).select("session_id", "device_type", "channel")
+    s = raw_sessions(spark, sf_dir).select("session_id", "device_type", "channel")
     u = _user_attrs(spark, sf_dir)
     return ev.join(s, "session_id").join(u, "user_id")
 
 
+@memo_per_source
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events_with_dims(spark, sf_dir)
     evd = e.select(
@@ -141,6 +170,7 @@ def _variant(user_id: Column, flipped: bool) -> Column:
     return F.when((user_id * 7 + 3) % 10 < 5, F.lit(first)).otherwise(F.lit(second))
 
 
+@memo_per_source
 def raw_experiment_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _user_attrs(spark, sf_dir).select("user_id")
     primary = u.select(
@@ -157,6 +187,7 @@ def raw_experiment_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return primary.unionByName(repeat)
 
 
+@memo_per_source
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The primary assignment is one row per user and exists for every user
     # that has events, so its variant is a function of user_id: no join needed.
@@ -174,6 +205,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo_per_source
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part")
     return p.select(
@@ -185,13 +217,48 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_entities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+RAW_BUILDERS = {
+    "raw_users": raw_users,
+    "raw_products": raw_products,
+    "raw_sessions": raw_sessions,
+    "raw_events": raw_events,
+    "raw_orders": raw_orders,
+    "raw_experiment_assignments": raw_experiment_assignments,
+}
+
+
+class LazyFrames(dict):
+    """name -> DataFrame mapping whose entries are built on first access, so
+    a query that needs two tables never plans the other four."""
+
+    def __init__(self, builders):
+        super().__init__()
+        self._builders = dict(builders)
+
+    def __missing__(self, name):
+        df = self._builders[name]()
+        self[name] = df
+        return df
+
+    def __contains__(self, name):
+        return name in self._builders
+
+    def keys(self):
+        return self._builders.keys()
+
+    def items(self):
+        return [(k, self[k]) for k in self._builders]
+
+    def values(self):
+        return [self[k] for k in self._builders]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self):
+        return len(self._builders)
+
+
+def raw_entities(spark: SparkSession, sf_dir: str) -> LazyFrames:
     """All six raw entities as lazy DataFrames keyed like the raw CSV files."""
-    return {
-        "raw_users": raw_users(spark, sf_dir),
-        "raw_products": raw_products(spark, sf_dir),
-        "raw_sessions": raw_sessions(spark, sf_dir),
-        "raw_events": raw_events(spark, sf_dir),
-        "raw_orders": raw_orders(spark, sf_dir),
-        "raw_experiment_assignments": raw_experiment_assignments(spark, sf_dir),
-    }
+    return LazyFrames({k: functools.partial(fn, spark, sf_dir) for k, fn in RAW_BUILDERS.items()})
