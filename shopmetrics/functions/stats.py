@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # W. J. Cody, "Rational Chebyshev approximations for the error
@@ -53,30 +53,43 @@ def two_sided_p(z: Column) -> Column:
     return erfc_nonneg(F.abs(z) / F.lit(math.sqrt(2.0)))
 
 
-def two_proportion_columns(cc: Column, cn: Column, vc: Column, vn: Column) -> dict[str, Column]:
-    """X1 as named Columns from control/variant conversions and sizes.
+def with_two_proportion_test(df: DataFrame, cc: str, cn: str, vc: str, vn: str) -> DataFrame:
+    """Append the two-proportion z-test columns to ``df`` given the names
+    of the control/variant conversion and size columns.
 
-    Degenerate inputs give NULL instead of raising: a missing variant (NULL
-    sizes), zero sizes, or pooled rate above 1 (more orders than sessions)."""
-    cc, cn, vc, vn = (c.cast("double") for c in (cc, cn, vc, vn))
+    Columns: control_rate, variant_rate, uplift, uplift_pct, z_score, p_value,
+    ci_low, ci_high, is_significant. Degenerate inputs give NULL instead of
+    raising: a missing variant (NULL sizes), zero sizes, or a pooled rate above
+    1 (more orders than sessions). Each stage is its own projection so the
+    erfc polynomial is generated once per row (a single nested expression
+    exceeds the 64 KB method limit of whole-stage codegen)."""
     zero = F.lit(0.0)
-    cr = cc / F.nullif(cn, zero)
-    vr = vc / F.nullif(vn, zero)
-    uplift = vr - cr
-    pooled = (cc + vc) / F.nullif(cn + vn, zero)
-    var = pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / F.nullif(cn, zero) + F.lit(1.0) / F.nullif(vn, zero))
-    se = F.when(var >= zero, F.sqrt(var))
-    z = F.when(se.isNull(), F.lit(None).cast("double")).when(se == zero, zero).otherwise(uplift / se)
-    p = two_sided_p(z)
-    return {
-        "control_rate": cr,
-        "variant_rate": vr,
-        "uplift": uplift,
-        "uplift_pct": F.when(cr.isNull(), F.lit(None).cast("double"))
-                        .when(cr == zero, zero).otherwise(uplift / cr),
-        "z_score": z,
-        "p_value": p,
-        "ci_low": uplift - F.lit(Z_95) * se,
-        "ci_high": uplift + F.lit(Z_95) * se,
-        "is_significant": p < F.lit(ALPHA),
-    }
+    d = lambda c: F.col(c).cast("double")
+    out = df.withColumns({
+        "control_rate": d(cc) / F.nullif(d(cn), zero),
+        "variant_rate": d(vc) / F.nullif(d(vn), zero),
+        "_pooled": (d(cc) + d(vc)) / F.nullif(d(cn) + d(vn), zero),
+    })
+    out = out.withColumns({
+        "uplift": F.col("variant_rate") - F.col("control_rate"),
+        "_var": F.col("_pooled") * (F.lit(1.0) - F.col("_pooled"))
+                * (F.lit(1.0) / F.nullif(d(cn), zero) + F.lit(1.0) / F.nullif(d(vn), zero)),
+    })
+    out = out.withColumn("_se", F.when(F.col("_var") >= zero, F.sqrt("_var")))
+    out = out.withColumns({
+        "uplift_pct": F.when(F.col("control_rate").isNull(), F.lit(None).cast("double"))
+                       .when(F.col("control_rate") == zero, zero)
+                       .otherwise(F.col("uplift") / F.col("control_rate")),
+        "z_score": F.when(F.col("_se").isNull(), F.lit(None).cast("double"))
+                    .when(F.col("_se") == zero, zero).otherwise(F.col("uplift") / F.col("_se")),
+        "ci_low": F.col("uplift") - F.lit(Z_95) * F.col("_se"),
+        "ci_high": F.col("uplift") + F.lit(Z_95) * F.col("_se"),
+    })
+    out = out.withColumn("_x", F.abs(F.col("z_score")) / F.lit(math.sqrt(2.0)))
+    out = out.withColumn("p_value", erfc_nonneg(F.col("_x")))
+    out = out.withColumn("is_significant", F.col("p_value") < F.lit(ALPHA))
+    return out.drop("_pooled", "_var", "_se", "_x")
+
+
+STAT_COLUMNS = ("control_rate", "variant_rate", "uplift", "uplift_pct", "z_score", "p_value",
+                "ci_low", "ci_high", "is_significant")

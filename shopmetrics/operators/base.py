@@ -67,11 +67,11 @@ def eligible_sessions(T: Mapping[str, DataFrame], filters: Mapping | None = None
     Used as the right side of a LEFT SEMI join wherever the reference only
     counts DISTINCT sessions: a semi join cannot multiply rows, so user
     duplicates never inflate the work."""
-    s = apply_filters(T["clean_sessions"].select("session_id", "user_id", "device_type", "channel"),
-                      filters, SESSION_DIMS)
+    s = apply_filters(T["clean_sessions"].select("session_id", "user_id", "session_start",
+                                                 "device_type", "channel"), filters, SESSION_DIMS)
     u = apply_filters(T["clean_users"].select("user_id", "region", "customer_type", "loyalty_flag"),
                       filters, USER_DIMS).select("user_id")
-    return s.join(u, "user_id", "left_semi").select("session_id", "user_id")
+    return s.join(u, "user_id", "left_semi").select("session_id", "user_id", "session_start")
 
 
 def session_order_stats(orders: DataFrame) -> DataFrame:

@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators import experiment as X
 from ..operators import gold as G
+from ..operators import metrics as M
+from ..operators import quality as D
+from ..operators.base import filtered_session_users
 from ..operators.silver import CLEANERS
 from ..sources.fixtures import raw_entities
 from .pipeline import clean_tables
@@ -21,8 +25,18 @@ from .pipeline import clean_tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+TIE_NUDGE = 1e-9
+
+
+def round6(c):
+    """Comparison rounding: 6 places after a 1e-9 nudge away from zero, so a
+    value sitting on a rounding tie (e.g. 1369.27 / 32 = 42.7896875) rounds the
+    same way whatever ulp-level noise the summation order left on it."""
+    return F.round(c + F.signum(c) * F.lit(TIE_NUDGE), 6)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, DoubleType)
+    return df.select(*[round6(F.col(f.name)).alias(f.name) if isinstance(f.dataType, DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -41,6 +55,18 @@ def _on_clean(fn: Callable[[dict], DataFrame]) -> Query:
     return q
 
 
+def _raw_and_clean(fn) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(fn(clean_tables(spark, sf_dir), raw_entities(spark, sf_dir)))
+    return q
+
+
+# Fixed dashboard selections used by the filtered variants.
+MOBILE = {"device_type": "mobile"}
+MULTI_FILTER = {"device_type": "mobile", "region": "All", "customer_type": "returning", "channel": "app"}
+SLICE_FILTER = {"region": "EUROPE", "loyalty_flag": True, "device_type": None}
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["clean_users"] = _silver("clean_users")
@@ -54,4 +80,33 @@ def queries() -> dict[str, Query]:
     q["gold_experiment_results"] = _on_clean(G.gold_experiment_results)
     q["gold_segment_performance"] = _on_clean(G.gold_segment_performance)
     q["gold_product_performance"] = _on_clean(G.gold_product_performance)
+    # M1-M9
+    q["filtered_sessions"] = _on_clean(lambda T: filtered_session_users(T, SLICE_FILTER))
+    q["filter_options"] = _on_clean(M.filter_options)
+    q["executive_metrics"] = _on_clean(M.executive_metrics)
+    q["executive_metrics_mobile"] = _on_clean(lambda T: M.executive_metrics(T, MOBILE))
+    q["funnel_metrics"] = _on_clean(M.funnel_metrics)
+    q["funnel_metrics_mobile"] = _on_clean(lambda T: M.funnel_metrics(T, MOBILE))
+    q["experiment_results"] = _on_clean(M.experiment_results)
+    q["experiment_results_filtered"] = _on_clean(lambda T: M.experiment_results(T, MULTI_FILTER))
+    q["segment_performance"] = _on_clean(M.segment_performance)
+    q["segment_performance_filtered"] = _on_clean(lambda T: M.segment_performance(T, MULTI_FILTER))
+    q["daily_kpis_filtered"] = _on_clean(lambda T: M.daily_kpis(T, MULTI_FILTER))
+    q["metric_context"] = _on_clean(lambda T: M.metric_context(T, prepare=rounded))
+    q["kpi_cube"] = _on_clean(M.kpi_cube)
+    # X1-X4
+    q["ab_test_segments"] = _on_clean(X.experiment_readout)
+    q["experiment_summary"] = _on_clean(X.experiment_summary)
+    q["experiment_summary_filtered"] = _on_clean(lambda T: X.experiment_summary(T, SLICE_FILTER))
+    q["ab_test_statement"] = _on_clean(lambda T: X.significance_statement(X.experiment_readout(T)))
+    # D1-D4, R1-R2
+    q["dq_row_counts"] = _on_clean(D.row_counts)
+    q["dq_duplicate_events"] = _raw_and_clean(lambda T, R: D.duplicate_ids(T["clean_events"], "event_id", "duplicate_events")
+                                              .unionByName(D.duplicate_ids(R["raw_events"], "event_id", "raw_duplicate_events")))
+    q["dq_missing_timestamps"] = _raw_and_clean(
+        lambda T, R: D.missing_values(T["clean_events"], "event_timestamp", "missing_event_timestamps")
+        .unionByName(D.missing_values(R["raw_events"], "event_timestamp", "raw_missing_event_timestamps")))
+    q["dq_suspicious_drops"] = _on_clean(D.suspicious_drops)
+    q["mobile_segment"] = _on_clean(lambda T: D.segment_slice(M.segment_performance(T)))
+    q["lowest_segments"] = _on_clean(lambda T: D.lowest_segments(G.gold_segment_performance(T)))
     return q
