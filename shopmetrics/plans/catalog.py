@@ -17,9 +17,10 @@ from ..operators import experiment as X
 from ..operators import gold as G
 from ..operators import metrics as M
 from ..operators import quality as D
+from ..operators import retrieval as RT
 from ..operators.base import filtered_session_users
 from ..operators.silver import CLEANERS
-from ..sources.fixtures import raw_entities
+from ..sources.fixtures import raw_entities, read_table
 from .pipeline import clean_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,16 @@ def _on_clean(fn: Callable[[dict], DataFrame]) -> Query:
     return q
 
 
+def _docs_questions(fn) -> Query:
+    """Retrieval queries: the whole ``documents`` table against every user
+    turn of ``conversations`` as a question."""
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = RT.documents_table(read_table(spark, sf_dir, "documents"))
+        questions = RT.questions_from_conversations(read_table(spark, sf_dir, "conversations"))
+        return rounded(fn(docs, questions))
+    return q
+
+
 def _raw_and_clean(fn) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(fn(clean_tables(spark, sf_dir), raw_entities(spark, sf_dir)))
@@ -109,4 +120,9 @@ def queries() -> dict[str, Query]:
     q["dq_suspicious_drops"] = _on_clean(D.suspicious_drops)
     q["mobile_segment"] = _on_clean(lambda T: D.segment_slice(M.segment_performance(T)))
     q["lowest_segments"] = _on_clean(lambda T: D.lowest_segments(G.gold_segment_performance(T)))
+    # T2-T5
+    q["query_terms"] = _docs_questions(lambda d, qs: RT.query_terms(qs))
+    q["keyword_scores"] = _docs_questions(RT.keyword_scores)
+    q["topk_documents"] = _docs_questions(RT.top_documents)
+    q["context_snippets"] = _docs_questions(lambda d, qs: RT.format_context(d, RT.top_documents(d, qs)))
     return q
