@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formatting import percent
 from ..functions.stats import STAT_COLUMNS, with_two_proportion_test
 from . import gold as G
 from .metrics import experiment_results
@@ -59,7 +60,7 @@ def experiment_readout(T: Mapping[str, DataFrame], filters: Mapping | None = Non
 def significance_statement(readout: DataFrame) -> DataFrame:
     """The dashboard's verdict text and confidence level per row."""
     sig = F.coalesce(F.col("is_significant"), F.lit(False))
-    pct = lambda c: F.format_string("%.2f%%", F.col(c) * 100)
+    pct = lambda c: percent(F.col(c))
     text = F.concat(
         F.lit("The 95% confidence interval for absolute uplift is "), pct("ci_low"), F.lit(" to "),
         pct("ci_high"), F.lit(". The result is "),

@@ -48,6 +48,18 @@ def _by_value():
 
 
 # ------------------------------------------------------------------------ M3
+def _overall_uplift(T: Mapping[str, DataFrame], experiment: DataFrame | None = None) -> DataFrame:
+    """One row: variant minus control conversion rate of the *unfiltered*
+    experiment mart's overall rows (0 when a variant is missing). Only the
+    overall segmentation is computed (the same rows as G3's overall rows)."""
+    exp = experiment if experiment is not None else G.experiment_aggregate(
+        G.experiment_base(T), [("overall", None)])
+    overall = exp.where((F.col("segment_type") == "overall") & (F.col("segment_value") == "all"))
+    return overall.agg(F.coalesce(
+        F.max(F.when(F.col("variant") == "variant", F.col("conversion_rate")))
+        - F.max(F.when(F.col("variant") == "control", F.col("conversion_rate"))), F.lit(0.0)).alias("experiment_uplift"))
+
+
 def executive_metrics(T: Mapping[str, DataFrame], filters: Mapping | None = None,
                       experiment: DataFrame | None = None) -> DataFrame:
     """One row: revenue, orders, conversion_rate, average_order_value,
@@ -61,14 +73,8 @@ def executive_metrics(T: Mapping[str, DataFrame], filters: Mapping | None = None
         filtered_session_users(T, filters).select("session_id"), "session_id")
     orders = o.agg(F.count(F.lit(1)).alias("orders"), F.sum("revenue").alias("revenue_sum"),
                    F.avg("revenue").alias("aov"))
-    # Only the overall rows of the unfiltered experiment mart are needed, so
-    # only that segmentation is computed (same rows as G3's overall rows).
-    exp = experiment if experiment is not None else G.experiment_aggregate(
-        G.experiment_base(T), [("overall", None)])
-    overall = exp.where((F.col("segment_type") == "overall") & (F.col("segment_value") == "all"))
-    uplift = overall.agg((F.max(F.when(F.col("variant") == "variant", F.col("conversion_rate")))
-                          - F.max(F.when(F.col("variant") == "control", F.col("conversion_rate")))).alias("uplift"))
-    up = F.coalesce(F.col("uplift"), F.lit(0.0))
+    uplift = _overall_uplift(T, experiment)
+    up = F.col("experiment_uplift")
     aov = F.coalesce(F.col("aov"), F.lit(0.0))
     # Three one-row frames: the cross join is 1 x 1 x 1.
     return sess.crossJoin(orders).crossJoin(uplift).select(
@@ -182,13 +188,18 @@ def kpi_cube(T: Mapping[str, DataFrame], dims: Sequence[str] = SIDEBAR_ORDER) ->
         return F.initcap(v) if d == "loyalty_flag" else v
     text_parts = [F.when(F.col(f"_g_{d}") == 0,
                          F.concat(F.lit(d.replace("_", " ") + " = "), shown(d))) for d in dims]
-    return cube.select(
+    uplift = _overall_uplift(T)
+    aov = F.coalesce(safe_div(F.col("revenue"), orders), F.lit(0.0))
+    # The uplift frame is one row; the cube is at most 4*3*6*3*3 rows here.
+    return cube.crossJoin(F.broadcast(uplift)).select(
         *sel,
         F.col("sessions"), F.col("active_users"), orders.alias("orders"),
         F.col("revenue"),
         F.when(F.col("sessions") == 0, F.lit(0.0)).otherwise(orders.cast("double") / F.col("sessions"))
          .alias("conversion_rate"),
-        F.coalesce(safe_div(F.col("revenue"), orders), F.lit(0.0)).alias("average_order_value"),
+        aov.alias("average_order_value"),
+        F.col("experiment_uplift"),
+        (F.col("experiment_uplift") * F.col("sessions") * aov).alias("commercial_impact_estimate"),
         F.concat(F.lit("Active filters: "),
                  F.coalesce(F.nullif(F.concat_ws(", ", *text_parts), F.lit("")), F.lit("All traffic")))
          .alias("filter_text"),

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.formatting import stable
 from ..operators import experiment as X
 from ..operators import gold as G
 from ..operators import metrics as M
 from ..operators import quality as D
+from ..operators import reports as N
 from ..operators import retrieval as RT
 from ..operators.base import filtered_session_users
 from ..operators.silver import CLEANERS
@@ -26,14 +28,11 @@ from .pipeline import clean_tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-TIE_NUDGE = 1e-9
-
-
 def round6(c):
     """Comparison rounding: 6 places after a 1e-9 nudge away from zero, so a
     value sitting on a rounding tie (e.g. 1369.27 / 32 = 42.7896875) rounds the
     same way whatever ulp-level noise the summation order left on it."""
-    return F.round(c + F.signum(c) * F.lit(TIE_NUDGE), 6)
+    return stable(c)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -56,6 +55,18 @@ def _on_clean(fn: Callable[[dict], DataFrame]) -> Query:
     return q
 
 
+def _insight_rows(T):
+    return N.insight_rows(M.kpi_cube(T), X.experiment_summary(T))
+
+
+def _kpi_cards(T):
+    return N.kpi_cards(M.executive_metrics(T), X.experiment_summary(T))
+
+
+def _tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.parse_json_column(N.responses_from_events(read_table(spark, sf_dir, "events")))
+
+
 def _docs_questions(fn) -> Query:
     """Retrieval queries: the whole ``documents`` table against every user
     turn of ``conversations`` as a question."""
@@ -120,6 +131,10 @@ def queries() -> dict[str, Query]:
     q["dq_suspicious_drops"] = _on_clean(D.suspicious_drops)
     q["mobile_segment"] = _on_clean(lambda T: D.segment_slice(M.segment_performance(T)))
     q["lowest_segments"] = _on_clean(lambda T: D.lowest_segments(G.gold_segment_performance(T)))
+    # N1-N5 (N6/N7 are columns of M4-M7 and of the cube)
+    q["insight_rows"] = _on_clean(_insight_rows)
+    q["kpi_cards"] = _on_clean(_kpi_cards)
+    q["tolerant_json"] = _tolerant_json
     # T2-T5
     q["query_terms"] = _docs_questions(lambda d, qs: RT.query_terms(qs))
     q["keyword_scores"] = _docs_questions(RT.keyword_scores)
