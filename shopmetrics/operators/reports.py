@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formatting import compact_currency, currency, fixed, percent, thousands
@@ -81,26 +81,38 @@ def insight_rows(metrics: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ N3
-def report_bundle(insights: DataFrame, contexts: DataFrame, questions: DataFrame,
-                  quality: DataFrame, lowest: DataFrame, mobile: DataFrame) -> DataFrame:
-    """One report per question: the question, its retrieved context, the
-    insight texts of the chosen slice (one row), rule validation, data-quality
-    checks and the recommendation. ``quality``, ``lowest`` and ``mobile`` are
-    tiny marts (a handful of rows) folded into one row each."""
-    dq = quality.agg(F.array_sort(F.collect_list(F.struct("check", "value"))).alias("data_quality"))
-    rec = (lowest.agg(F.collect_list(F.struct("segment_type", "segment_value", "conversion_rate"))
-                      .alias("lowest_converting_segments"))
-           .crossJoin(mobile.agg(F.first("conversion_rate").alias("mobile_conversion_rate"))))
-    one = insights.crossJoin(dq).crossJoin(rec)  # 1 x 1 x 1
+def report_bundle(insight: DataFrame, questions: DataFrame, contexts: DataFrame, quality: DataFrame,
+                  drops: DataFrame, segments: DataFrame, lowest_k: int = 3) -> DataFrame:
+    """One report per question -- the question, the insight texts (one row:
+    filtered metrics, unfiltered experiment), the rule-based validation, the
+    data-quality checks, the recommendation (mobile evidence and the lowest
+    converting segments) and the question's retrieved context.
+
+    ``quality`` (check, value), ``drops`` (event_name, dropoff_rate) and
+    ``segments`` (M6 rows) are tiny marts; each folds into one row of JSON
+    text, so every question joins a single broadcast row."""
+    dq = quality.agg(F.to_json(F.array_sort(F.collect_list(F.struct("check", "value")))).alias("data_quality"))
+    dr = drops.agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_name", "dropoff_rate"))))
+                   .alias("suspicious_funnel_drops"))
+    seg_cols = ["segment_type", "segment_value", "sessions", "users", "orders", "conversion_rate", "revenue",
+                "average_order_value"]
+    mob = (segments.where((F.col("segment_type") == "device_type") & (F.col("segment_value") == "mobile"))
+           .agg(F.to_json(F.array_sort(F.collect_list(F.struct(*seg_cols)))).alias("mobile_metrics")))
+    w = Window.orderBy(F.col("conversion_rate").asc_nulls_last(), "segment_type", "segment_value")
+    low = (segments.orderBy(F.col("conversion_rate").asc_nulls_last(), "segment_type", "segment_value")
+           .limit(lowest_k).withColumn("rank", F.row_number().over(w))
+           .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", *seg_cols))),
+                                      lambda r: r.dropFields("rank"))).alias("lowest_converting_segments")))
+    one = insight.crossJoin(dq).crossJoin(dr).crossJoin(mob).crossJoin(low)  # 1 x 1 x 1 x 1 x 1
     return (questions.join(contexts, "question_id", "left")
             .crossJoin(F.broadcast(one))
             .select("question_id", "question", "filter_text", "insight", "evidence", "recommendation",
-                    "confidence_level",
-                    F.lit(VALIDATION_RATING).alias("support_rating"), F.lit(VALIDATION_NOTE).alias("validation_notes"),
-                    F.to_json("data_quality").alias("data_quality"),
+                    "confidence_level", F.col("validation_notes").alias("insight_notes"),
+                    F.lit(VALIDATION_RATING).alias("support_rating"),
+                    F.lit(VALIDATION_NOTE).alias("validation_notes"),
+                    "data_quality", "suspicious_funnel_drops",
                     F.lit(PRIORITY_TEXT).alias("priority"), F.lit(PRIORITY_REASON).alias("reason"),
-                    "mobile_conversion_rate",
-                    F.to_json("lowest_converting_segments").alias("lowest_converting_segments"),
+                    "mobile_metrics", "lowest_converting_segments",
                     F.coalesce(F.col("context"), F.lit("")).alias("retrieved_context")))
 
 

@@ -63,6 +63,20 @@ def _kpi_cards(T):
     return N.kpi_cards(M.executive_metrics(T), X.experiment_summary(T))
 
 
+def _report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    T_ = clean_tables(spark, sf_dir)
+    docs = RT.documents_table(read_table(spark, sf_dir, "documents"))
+    questions = RT.questions_from_conversations(read_table(spark, sf_dir, "conversations"))
+    metrics = M.executive_metrics(T_).withColumn("filter_text", F.lit("Active filters: All traffic"))
+    insight = N.insight_rows(metrics, X.experiment_summary(T_)).select(
+        "filter_text", "insight", "evidence", "recommendation", "confidence_level", "validation_notes")
+    contexts = RT.format_context(docs, RT.top_documents(docs, questions))
+    quality = D.data_quality(T_)
+    drops = rounded(D.suspicious_drops(T_))
+    segments = rounded(M.segment_performance(T_))
+    return N.report_bundle(insight, questions, contexts, quality, drops, segments)
+
+
 def _tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.parse_json_column(N.responses_from_events(read_table(spark, sf_dir, "events")))
 
@@ -135,6 +149,7 @@ def queries() -> dict[str, Query]:
     q["insight_rows"] = _on_clean(_insight_rows)
     q["kpi_cards"] = _on_clean(_kpi_cards)
     q["tolerant_json"] = _tolerant_json
+    q["report_bundle"] = _report_bundle
     # T2-T5
     q["query_terms"] = _docs_questions(lambda d, qs: RT.query_terms(qs))
     q["keyword_scores"] = _docs_questions(RT.keyword_scores)

@@ -30,6 +30,9 @@ def build_session(master: str | None = None, app_name: str = "shopmetrics",
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the only executor.
+        conf["spark.driver.memory"] = os.environ.get("SHOPMETRICS_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -60,3 +63,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread a narrow scan over the session's parallelism before CPU-heavy
+    per-row work (tokenising whole documents). A large input already has at
+    least that many splits and is returned unchanged -- only a scan that would
+    run in a handful of tasks pays the (then small) round-robin shuffle."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
