@@ -77,6 +77,45 @@ def _report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.report_bundle(insight, questions, contexts, quality, drops, segments)
 
 
+def _bronze_dir(spark: SparkSession, tag: str) -> str:
+    import uuid
+    from ..session import shared_dir
+    return shared_dir(spark, f"{tag}-{uuid.uuid4().hex[:12]}")
+
+
+def _bronze_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: raw events written as headered CSV to the shared folder, ingested
+    back with the explicit raw schema, then cleaned (S4)."""
+    from ..operators.silver import clean_events
+    from ..sources.csv_io import ingest_csv, write_csv
+    root = _bronze_dir(spark, "bronze")
+    write_csv(raw_entities(spark, sf_dir)["raw_events"], f"{root}/raw_events.csv")
+    return rounded(clean_events(ingest_csv(spark, root, "raw_events")))
+
+
+def _bronze_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 for all six entities: rows per entity after a CSV round trip."""
+    from ..sources.csv_io import RAW_SCHEMAS, ingest_csv, write_csv
+    root = _bronze_dir(spark, "bronze")
+    raw = raw_entities(spark, sf_dir)
+    out = None
+    for e in RAW_SCHEMAS:
+        write_csv(raw[e], f"{root}/{e}.csv")
+        c = ingest_csv(spark, root, e).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(e).alias("entity"), "rows")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def _export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the four exported marts written as single CSV files; the daily KPI
+    mart read back with its schema."""
+    from ..sources.csv_io import export_marts, read_csv_like
+    T_ = clean_tables(spark, sf_dir)
+    gold = G.gold_tables(T_)
+    paths = export_marts(gold, _bronze_dir(spark, "gold-export"))
+    return rounded(read_csv_like(spark, paths["gold_daily_kpis"], gold["gold_daily_kpis"]))
+
+
 def _tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.parse_json_column(N.responses_from_events(read_table(spark, sf_dir, "events")))
 
@@ -150,6 +189,10 @@ def queries() -> dict[str, Query]:
     q["kpi_cards"] = _on_clean(_kpi_cards)
     q["tolerant_json"] = _tolerant_json
     q["report_bundle"] = _report_bundle
+    # B1, K2
+    q["bronze_roundtrip"] = _bronze_roundtrip
+    q["bronze_row_counts"] = _bronze_counts
+    q["export_roundtrip"] = _export_roundtrip
     # T2-T5
     q["query_terms"] = _docs_questions(lambda d, qs: RT.query_terms(qs))
     q["keyword_scores"] = _docs_questions(RT.keyword_scores)
