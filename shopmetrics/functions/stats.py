@@ -42,7 +42,8 @@ def erfc_nonneg(x: Column) -> Column:
     mid = F.exp(-x2) * _horner(ERFC_C, x) / _horner(ERFC_D, x)
     inv = F.lit(1.0) / x2
     large = (F.exp(-x2) / x) * (F.lit(1.0 / math.sqrt(math.pi)) - inv * _horner(ERFC_P, inv) / _horner(ERFC_Q, inv))
-    return (F.when(x <= F.lit(0.46875), small)
+    return (F.when(x.isNull(), F.lit(None).cast("double"))
+             .when(x <= F.lit(0.46875), small)
              .when(x <= F.lit(4.0), mid)
              .when(x < F.lit(27.0), large)
              .otherwise(F.lit(0.0)))

@@ -15,12 +15,32 @@ from ..sources.fixtures import raw_entities
 _CLEAN: dict[tuple, dict] = {}
 
 
-def clean_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Silver tables derived from the driver's parquet tables (lazy; one set
-    of plan objects per application and folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+def clean_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -> dict[str, DataFrame]:
+    """Silver tables derived from the driver's parquet tables.
+
+    ``materialized`` (default): like the shop's own Silver layer, each clean
+    table is written once per application as Parquet under the shared
+    checkpoint folder (``spark.checkpoint.dir``) the first time a query needs
+    it, and read back from there -- the lineage to the raw tables is cut and
+    every later query starts from compact clean files. Otherwise the tables
+    are lazy plans over the raw tables."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), materialized)
     if key not in _CLEAN:
-        _CLEAN[key] = silver_tables(raw_entities(spark, sf_dir))
+        lazy = silver_tables(raw_entities(spark, sf_dir))
+        if not materialized:
+            _CLEAN[key] = lazy
+        else:
+            import hashlib
+            from ..sources.fixtures import LazyFrames
+            from ..session import shared_dir
+            tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:10]
+            root = shared_dir(spark, f"silver-{spark.sparkContext.applicationId}-{tag}")
+
+            def build(name: str) -> DataFrame:
+                path = f"{root}/{name}"
+                lazy[name].write.mode("overwrite").parquet(path)
+                return spark.read.parquet(path)
+            _CLEAN[key] = LazyFrames({n: (lambda n=n: build(n)) for n in lazy.keys()})
     return _CLEAN[key]
 
 
