@@ -3,6 +3,7 @@ materialisation (K1) as overwritten tables / Parquet folders."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..sources.fixtures import raw_entities
 
 
 _CLEAN: dict[tuple, dict] = {}
+_BUILD_LOCK = threading.RLock()
 
 
 def clean_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -> dict[str, DataFrame]:
@@ -24,7 +26,14 @@ def clean_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
     it, and read back from there -- the lineage to the raw tables is cut and
     every later query starts from compact clean files. Otherwise the tables
     are lazy plans over the raw tables."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), materialized)
+    from ..session import app_key
+    key = (app_key(spark), sf_dir.rstrip("/"), materialized)
+    with _BUILD_LOCK:
+        return _clean_tables_locked(spark, sf_dir, materialized, key)
+
+
+def _clean_tables_locked(spark, sf_dir, materialized, key):
+    from ..session import app_key
     if key not in _CLEAN:
         lazy = silver_tables(raw_entities(spark, sf_dir))
         if not materialized:
@@ -34,12 +43,13 @@ def clean_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
             from ..sources.fixtures import LazyFrames
             from ..session import shared_dir
             tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:10]
-            root = shared_dir(spark, f"silver-{spark.sparkContext.applicationId}-{tag}")
+            root = shared_dir(spark, f"silver-{app_key(spark)}-{tag}")
 
             def build(name: str) -> DataFrame:
                 path = f"{root}/{name}"
-                lazy[name].write.mode("overwrite").parquet(path)
-                return spark.read.parquet(path)
+                with _BUILD_LOCK:  # one writer per table even if queries run in threads
+                    lazy[name].write.mode("overwrite").parquet(path)
+                    return spark.read.parquet(path)
             _CLEAN[key] = LazyFrames({n: (lambda n=n: build(n)) for n in lazy.keys()})
     return _CLEAN[key]
 

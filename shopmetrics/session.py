@@ -44,19 +44,40 @@ def build_session(master: str | None = None, app_name: str = "shopmetrics",
     return spark
 
 
+def app_key(spark: SparkSession) -> str:
+    """Identity of the running application (cache key for shared plans)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 -- sessions without a local SparkContext
+        return f"session-{id(spark)}"
+
+
+_LOCAL_CKPT: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``. Only when it is unset (local tests) a private
     scratch folder is created and registered on the SparkContext."""
-    sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        sc = None
+    current = None
+    if sc is not None:
+        current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not current:
+        current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    local = tempfile.mkdtemp(prefix="shopmetrics-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+        return (sc.getCheckpointDir() if sc is not None else None) or current
+    key = app_key(spark)
+    if key not in _LOCAL_CKPT:
+        _LOCAL_CKPT[key] = tempfile.mkdtemp(prefix="shopmetrics-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if sc is not None:
+            sc.setCheckpointDir(_LOCAL_CKPT[key])
+    return (sc.getCheckpointDir() if sc is not None else None) or _LOCAL_CKPT[key]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -71,7 +92,10 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     least that many splits and is returned unchanged -- only a scan that would
     run in a handful of tasks pays the (then small) round-robin shuffle."""
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 -- no RDD view (e.g. remote sessions): leave the plan alone
         return df
     return df.repartition(target)

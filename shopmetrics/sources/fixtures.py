@@ -39,7 +39,8 @@ _MEMO: dict[tuple, DataFrame] = {}
 
 
 def _session_key(spark: SparkSession) -> str:
-    return spark.sparkContext.applicationId
+    from ..session import app_key
+    return app_key(spark)
 
 
 def memo_per_source(fn):
@@ -227,6 +228,9 @@ RAW_BUILDERS = {
 }
 
 
+_LAZY_LOCK = __import__("threading").RLock()
+
+
 class LazyFrames(dict):
     """name -> DataFrame mapping whose entries are built on first access, so
     a query that needs two tables never plans the other four."""
@@ -236,9 +240,12 @@ class LazyFrames(dict):
         self._builders = dict(builders)
 
     def __missing__(self, name):
-        df = self._builders[name]()
-        self[name] = df
-        return df
+        with _LAZY_LOCK:
+            if dict.__contains__(self, name):
+                return dict.__getitem__(self, name)
+            df = self._builders[name]()
+            self[name] = df
+            return df
 
     def __contains__(self, name):
         return name in self._builders
