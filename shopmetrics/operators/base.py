@@ -115,3 +115,18 @@ def explode_segments(df: DataFrame, segments: Sequence[tuple[str, Column | str |
 def safe_div(num: Column, den: Column) -> Column:
     """num / NULLIF(den, 0) as DOUBLE (ANSI mode raises on x/0)."""
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
+
+
+def sort_small(df: DataFrame, *cols) -> DataFrame:
+    """ORDER BY for a result of bounded cardinality (calendar days, funnel
+    steps, segment values): gathered into one partition and sorted there,
+    which skips the sampling job of a range-partitioned global sort. Only for
+    aggregated marts -- never for entity-sized tables."""
+    return df.coalesce(1).sortWithinPartitions(*cols)
+
+
+def literal_table(spark, rows, schema: Sequence[tuple[str, str]]) -> DataFrame:
+    """A small fixed table (step lists, option lists) as inline literals: a
+    JVM-side local relation, no Python worker and no RDD."""
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, schema)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import (apply_filters, eligible_sessions, explode_segments, filtered_session_users,
-                   safe_div, with_order_stats)
+                   literal_table, safe_div, sort_small, with_order_stats)
 
 # The ordered funnel step list.
 FUNNEL_STEPS = (
@@ -59,7 +59,7 @@ def daily_kpis_from(sessions: DataFrame, orders: DataFrame, sessions_unique: boo
                       F.coalesce(F.col("revenue"), F.lit(0.0)).alias("revenue"),
                       F.coalesce(F.col("average_order_value"), F.lit(0.0)).alias("average_order_value"),
                       safe_div(orders_c, F.col("sessions")).alias("conversion_rate"))
-              .orderBy("event_date"))
+              .transform(lambda d: sort_small(d, "event_date")))
 
 
 def gold_daily_kpis(T: Mapping[str, DataFrame]) -> DataFrame:
@@ -69,7 +69,7 @@ def gold_daily_kpis(T: Mapping[str, DataFrame]) -> DataFrame:
 
 # --------------------------------------------------------------------- G2 / M4
 def funnel_steps(spark: SparkSession, steps: Sequence[tuple[str, int]] = FUNNEL_STEPS) -> DataFrame:
-    return spark.createDataFrame(list(steps), "event_name string, step_order int")
+    return literal_table(spark, steps, [("event_name", "string"), ("step_order", "int")])
 
 
 def funnel_from(events: DataFrame, steps: DataFrame, step_names: Sequence[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def funnel_from(events: DataFrame, steps: DataFrame, step_names: Sequence[str])
                       safe_div(sess, F.first_value(sess).over(w)).alias("conversion_from_start"),
                       safe_div(sess, prev).alias("step_conversion_rate"),
                       (F.lit(1.0) - safe_div(sess, prev)).alias("dropoff_rate"))
-              .orderBy("step_order"))
+              .transform(lambda d: sort_small(d, "step_order")))
 
 
 def gold_funnel_metrics(T: Mapping[str, DataFrame], steps: Sequence[tuple[str, int]] = FUNNEL_STEPS) -> DataFrame:

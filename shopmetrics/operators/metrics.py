@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import gold as G
 from .base import (ALL, FILTER_DIMS, USER_DIMS, apply_filters, eligible_sessions,
-                   filtered_session_users, safe_div, session_order_stats)
+                   filtered_session_users, literal_table, safe_div, session_order_stats, sort_small)
 
 # Fixed value: the loyalty options are listed, not queried.
 LOYALTY_OPTIONS = (ALL, True, False)
@@ -35,7 +35,7 @@ def filter_options(T: Mapping[str, DataFrame]) -> DataFrame:
                                  (F.dense_rank().over(_by_value()) ).cast("int").alias("position")))
     fixed = [(d, ALL, 0) for d, _ in TEXT_OPTION_DIMS]
     fixed += [("loyalty_flag", str(v) if v == ALL else str(v).lower(), i) for i, v in enumerate(LOYALTY_OPTIONS)]
-    out = spark.createDataFrame(fixed, "dimension string, value string, position int")
+    out = literal_table(spark, fixed, [("dimension", "string"), ("value", "string"), ("position", "int")])
     for p in parts:
         out = out.unionByName(p)
     return out
@@ -107,16 +107,16 @@ def experiment_results(T: Mapping[str, DataFrame], filters: Mapping | None = Non
     """G3 with six segmentations (adds region and loyalty_flag as text),
     filtered, ordered by segment_type, segment_value, variant."""
     base = G.experiment_base(T, filters, experiment_name)
-    return (G.experiment_aggregate(base, G.EXPERIMENT_SEGMENTS)
-             .orderBy("segment_type", "segment_value", "variant"))
+    return sort_small(G.experiment_aggregate(base, G.EXPERIMENT_SEGMENTS),
+                      "segment_type", "segment_value", "variant")
 
 
 # ------------------------------------------------------------------------ M6
 def segment_performance(T: Mapping[str, DataFrame], filters: Mapping | None = None) -> DataFrame:
     """G4 filtered; ordered by segment_type, conversion_rate DESC."""
-    return (G.segment_aggregate(G.segment_base(T, filters))
-             .orderBy(F.col("segment_type").asc(), F.col("conversion_rate").desc_nulls_last(),
-                      F.col("segment_value").asc()))
+    return sort_small(G.segment_aggregate(G.segment_base(T, filters)),
+                      F.col("segment_type").asc(), F.col("conversion_rate").desc_nulls_last(),
+                      F.col("segment_value").asc())
 
 
 # ------------------------------------------------------------------------ M7
