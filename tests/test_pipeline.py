@@ -1,0 +1,33 @@
+import os
+import uuid
+
+from shopmetrics.operators import retrieval as R
+from shopmetrics.plans.pipeline import clean_tables, read_layer, run_pipeline
+from shopmetrics.session import shared_dir
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_layers_written_and_read_back(spark):
+    root = shared_dir(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
+    paths = run_pipeline(spark, SF, root)
+    assert set(paths) == {"bronze", "silver", "gold"}
+    silver = read_layer(spark, paths["silver"])
+    lazy = clean_tables(spark, SF, materialized=False)
+    for name, df in silver.items():
+        assert df.count() == lazy[name].count(), name
+    gold = read_layer(spark, paths["gold"])
+    assert gold["gold_funnel_metrics"].count() == 6
+    assert gold["gold_product_performance"].count() == lazy["clean_products"].count()
+
+
+def test_load_documents_from_files(spark, tmp_path):
+    for name, text in [("b_guide.md", "Checkout  guide\n\nmobile conversion"), ("a_intro.md", "Intro text")]:
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    docs = R.load_documents(spark, str(tmp_path))
+    rows = sorted((r.doc_id, r.source) for r in docs.collect())
+    assert [s for _, s in rows] == ["a_intro.md", "b_guide.md"]  # document order = file name order
+    q = spark.createDataFrame([(1, "mobile checkout")], "question_id long, question string")
+    ctx = R.format_context(docs, R.top_documents(docs, q)).collect()[0].context
+    assert ctx == "Source: b_guide.md\nCheckout guide mobile conversion"
+    assert os.path.exists(tmp_path / "a_intro.md")
