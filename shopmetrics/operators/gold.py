@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import (apply_filters, eligible_sessions, explode_segments, filtered_session_users,
-                   literal_table, safe_div, sort_small, with_order_stats)
+from .base import (explode_segments, filtered_session_users, literal_table, safe_div, sort_small,
+                   with_order_stats)
 
 # The ordered funnel step list.
 FUNNEL_STEPS = (
@@ -189,7 +189,3 @@ def gold_tables(T: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "gold_segment_performance": gold_segment_performance(T),
         "gold_product_performance": gold_product_performance(T),
     }
-
-
-__all__ = [n for n in dir() if n.startswith(("gold_", "daily_", "funnel", "experiment_", "segment_"))] + [
-    "FUNNEL_STEPS", "apply_filters", "eligible_sessions"]

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gold as G
-from .base import (ALL, FILTER_DIMS, USER_DIMS, apply_filters, eligible_sessions,
-                   filtered_session_users, literal_table, safe_div, session_order_stats, sort_small)
+from .base import (ALL, eligible_sessions, filtered_session_users, literal_table, safe_div,
+                   session_order_stats, sort_small)
 
 # Fixed value: the loyalty options are listed, not queried.
 LOYALTY_OPTIONS = (ALL, True, False)
