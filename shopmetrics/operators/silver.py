@@ -5,7 +5,11 @@ Dedup is ``row_number() OVER (PARTITION BY key ORDER BY ts NULLS LAST, tiebreak)
 = 1``. Spark plans that as a *partial* ``WindowGroupLimit`` before the shuffle
 and a final one after it, so a key that holds a large share of all rows is cut
 to one row per map task before anything is exchanged (map-side combine), and
-the sort after the shuffle only sees the survivors.
+the sort after the shuffle only sees the survivors. The alternative
+``groupBy(key).agg(min_by(struct(*), order))`` measured the same at sf0.1
+(0.5-0.7 s warm for raw events) and plans a sort-based aggregate anyway
+(struct buffers do not fit the hash aggregate), so the declarative window form
+is kept.
 """
 
 from __future__ import annotations

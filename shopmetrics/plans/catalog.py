@@ -116,6 +116,14 @@ def _export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_csv_like(spark, paths["gold_daily_kpis"], gold["gold_daily_kpis"]))
 
 
+def _layer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: bronze -> silver -> gold, each layer written (overwrite) to the
+    shared folder and read back by the next; the segment mart as read back."""
+    from .pipeline import read_layer, run_pipeline
+    paths = run_pipeline(spark, sf_dir, _bronze_dir(spark, "layers"))
+    return rounded(read_layer(spark, paths["gold"])["gold_segment_performance"])
+
+
 def _tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.parse_json_column(N.responses_from_events(read_table(spark, sf_dir, "events")))
 
@@ -193,6 +201,7 @@ def queries() -> dict[str, Query]:
     q["bronze_roundtrip"] = _bronze_roundtrip
     q["bronze_row_counts"] = _bronze_counts
     q["export_roundtrip"] = _export_roundtrip
+    q["layer_pipeline"] = _layer_pipeline
     # T2-T5
     q["query_terms"] = _docs_questions(lambda d, qs: RT.query_terms(qs))
     q["keyword_scores"] = _docs_questions(RT.keyword_scores)
