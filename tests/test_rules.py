@@ -95,3 +95,12 @@ def test_segment_sessions_add_up_and_cube_all_equals_m3(spark):
     assert cube_mobile.orders == mobile.orders
     assert cube_mobile.filter_text == "Active filters: device type = mobile"
     assert E.entry(spark).count() > 0
+
+
+def test_filter_predicate_sentinels(spark):  # M1
+    from shopmetrics.operators.base import active_filters, apply_filters
+    assert active_filters({"device_type": "All", "region": None, "channel": "app", "bogus": "x"}) == {"channel": "app"}
+    df = spark.createDataFrame([(True, "app"), (False, "app"), (True, "web")], "loyalty_flag boolean, channel string")
+    assert apply_filters(df, {"loyalty_flag": "True", "channel": "app"}).count() == 1
+    assert apply_filters(df, {"loyalty_flag": False}).count() == 1
+    assert apply_filters(df, {"loyalty_flag": "All", "channel": "All"}).count() == 3

@@ -55,3 +55,13 @@ def test_retrieval_edge_cases_match_python(spark):
         assert [(s, i) for _, s, i in sorted(got[qid])] == exp, (qid, got[qid], exp)
     ctx = {r.question_id: r.context for r in R.format_context(d, R.top_documents(d, q)).collect()}
     assert ctx[6].startswith("Source: s4\nnothing relevant here at all")
+
+
+def test_recorded_answer_on_driver_documents(spark):
+    # FIXTURES.md section 4: computed with plain Python over the sf0.01 documents.
+    from shopmetrics.sources.fixtures import read_table
+    docs = R.documents_table(read_table(spark, "/root/testdata/sf0.01", "documents"))
+    q = spark.createDataFrame([(1, "Which copies contain the license and personal data?")],
+                              "question_id long, question string")
+    got = [(r.doc_id, r.score) for r in R.top_documents(docs, q).orderBy("rank").collect()]
+    assert got == [(845, 3), (125, 2), (156, 2)]
