@@ -4,7 +4,7 @@
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import digest, duck_con
+from tools.oracle_check import digest, duck_con, type_mismatches
 
 SF = "/root/testdata/sf0.001"
 KEYS = sorted(E.queries())
@@ -27,5 +27,6 @@ def test_matches_oracle(spark, con, key):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    assert not type_mismatches(df, cur.description)
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
