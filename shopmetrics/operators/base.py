@@ -89,11 +89,11 @@ def with_order_stats(base: DataFrame, orders: DataFrame) -> DataFrame:
     of the reference's ``LEFT JOIN clean_orders``: a base row without orders
     stands for one joined row with converted=0 and revenue 0."""
     st = session_order_stats(orders)
-    return (base.join(st, "session_id", "left")
-                .withColumn("conversions", F.coalesce(F.col("n_orders"), F.lit(0)))
-                .withColumn("revenue", F.coalesce(F.col("rev_sum"), F.lit(0.0)))
-                .withColumn("nonzero_orders", F.coalesce(F.col("n_nonzero"), F.lit(0)))
-                .drop("n_orders", "rev_sum", "n_nonzero"))
+    return base.join(st, "session_id", "left").select(
+        *base.columns,
+        F.coalesce(F.col("n_orders"), F.lit(0)).alias("conversions"),
+        F.coalesce(F.col("rev_sum"), F.lit(0.0)).alias("revenue"),
+        F.coalesce(F.col("n_nonzero"), F.lit(0)).alias("nonzero_orders"))
 
 
 def explode_segments(df: DataFrame, segments: Sequence[tuple[str, Column | str | None]]) -> DataFrame:
@@ -106,10 +106,7 @@ def explode_segments(df: DataFrame, segments: Sequence[tuple[str, Column | str |
         else:
             v = (F.col(value) if isinstance(value, str) else value).cast("string")
         items.append(F.struct(F.lit(seg_type).alias("segment_type"), v.alias("segment_value")))
-    return (df.withColumn("_seg", F.explode(F.array(*items)))
-              .withColumn("segment_type", F.col("_seg.segment_type"))
-              .withColumn("segment_value", F.col("_seg.segment_value"))
-              .drop("_seg"))
+    return (df.select("*", F.inline(F.array(*items))))
 
 
 def safe_div(num: Column, den: Column) -> Column:
