@@ -45,11 +45,12 @@ def build_session(master: str | None = None, app_name: str = "shopmetrics",
 
 
 def app_key(spark: SparkSession) -> str:
-    """Identity of the running application (cache key for shared plans)."""
+    """Identity of the session (cache key for shared plans): application id
+    plus the session object, so DataFrames are never shared across sessions."""
     try:
-        return spark.sparkContext.applicationId
+        return f"{spark.sparkContext.applicationId}-{id(spark):x}"
     except Exception:  # noqa: BLE001 -- sessions without a local SparkContext
-        return f"session-{id(spark)}"
+        return f"session-{id(spark):x}"
 
 
 _LOCAL_CKPT: dict[str, str] = {}
