@@ -23,7 +23,7 @@ from ..operators import retrieval as RT
 from ..operators.base import filtered_session_users
 from ..operators.silver import CLEANERS
 from ..sources.fixtures import raw_entities, read_table
-from .pipeline import clean_tables
+from .layers import clean_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,11 +116,11 @@ def _export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_csv_like(spark, paths["gold_daily_kpis"], gold["gold_daily_kpis"]))
 
 
-def _layer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _layer_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: bronze -> silver -> gold, each layer written (overwrite) to the
     shared folder and read back by the next; the segment mart as read back."""
-    from .pipeline import read_layer, run_pipeline
-    paths = run_pipeline(spark, sf_dir, _bronze_dir(spark, "layers"))
+    from .layers import read_layer, run_layers
+    paths = run_layers(spark, sf_dir, _bronze_dir(spark, "layers"))
     return rounded(read_layer(spark, paths["gold"])["gold_segment_performance"])
 
 
@@ -201,7 +201,7 @@ def queries() -> dict[str, Query]:
     q["bronze_roundtrip"] = _bronze_roundtrip
     q["bronze_row_counts"] = _bronze_counts
     q["export_roundtrip"] = _export_roundtrip
-    q["layer_pipeline"] = _layer_pipeline
+    q["layer_materialise"] = _layer_materialise
     # T2-T5
     q["query_terms"] = _docs_questions(lambda d, qs: RT.query_terms(qs))
     q["keyword_scores"] = _docs_questions(RT.keyword_scores)

@@ -74,7 +74,7 @@ def read_layer(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parque
     return {name: spark.read.format(fmt).load(p) for name, p in paths.items()}
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, root: str) -> dict[str, dict[str, str]]:
+def run_layers(spark: SparkSession, sf_dir: str, root: str) -> dict[str, dict[str, str]]:
     """Bronze (fixture adapter) -> Silver -> Gold, each layer written and then
     read back, so every layer cuts lineage at a durable table."""
     bronze = materialise(raw_entities(spark, sf_dir), f"{root}/bronze")

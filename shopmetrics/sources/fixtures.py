@@ -1,6 +1,6 @@
 """Fixture adapter: the driver's star-schema tables -> the six raw shop entities.
 
-The shop pipeline expects raw users, products, sessions, events, orders and
+The shop expects raw users, products, sessions, events, orders and
 experiment assignments. The test tables are TPC-H-like (customer, nation,
 region, orders, part) plus an ``events`` stream, so this module derives the
 shop entities from them with plain DataFrame expressions. A "session" is one

@@ -2,15 +2,15 @@ import os
 import uuid
 
 from shopmetrics.operators import retrieval as R
-from shopmetrics.plans.pipeline import clean_tables, read_layer, run_pipeline
+from shopmetrics.plans.layers import clean_tables, read_layer, run_layers
 from shopmetrics.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_layers_written_and_read_back(spark):
-    root = shared_dir(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
-    paths = run_pipeline(spark, SF, root)
+    root = shared_dir(spark, f"layers-{uuid.uuid4().hex[:8]}")
+    paths = run_layers(spark, SF, root)
     assert set(paths) == {"bronze", "silver", "gold"}
     silver = read_layer(spark, paths["silver"])
     lazy = clean_tables(spark, SF, materialized=False)

@@ -77,7 +77,7 @@ def test_product_without_events(spark):
 
 def test_segment_sessions_add_up_and_cube_all_equals_m3(spark):
     import __spark_entry__ as E
-    from shopmetrics.plans.pipeline import clean_tables
+    from shopmetrics.plans.layers import clean_tables
     T = clean_tables(spark, "/root/testdata/sf0.001")
     seg = M.segment_performance(T)
     totals = {r.segment_type: r.s for r in seg.groupBy("segment_type").agg(F.sum("sessions").alias("s")).collect()}
