@@ -6,8 +6,9 @@ Scale notes
   non-zero count) *before* they meet the session base, so the one-to-many
   left join of the reference never fans rows out; the fan-out semantics
   (a session with two orders converts twice) are kept by summing counts.
-* The segment fan-out is one ``explode`` over an array of (type, value)
-  structs: one scan of the base instead of one per UNION ALL branch.
+* The segment fan-out is one generator (``inline`` over an array of
+  (type, value) structs): one scan of the base instead of one per UNION ALL
+  branch.
 """
 
 from __future__ import annotations
