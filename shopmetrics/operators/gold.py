@@ -181,11 +181,16 @@ def gold_product_performance(T: Mapping[str, DataFrame]) -> DataFrame:
         "average_price", "margin_rate")
 
 
+GOLD_BUILDERS = {
+    "gold_daily_kpis": gold_daily_kpis,
+    "gold_funnel_metrics": gold_funnel_metrics,
+    "gold_experiment_results": gold_experiment_results,
+    "gold_segment_performance": gold_segment_performance,
+    "gold_product_performance": gold_product_performance,
+}
+
+
 def gold_tables(T: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    return {
-        "gold_daily_kpis": gold_daily_kpis(T),
-        "gold_funnel_metrics": gold_funnel_metrics(T),
-        "gold_experiment_results": gold_experiment_results(T),
-        "gold_segment_performance": gold_segment_performance(T),
-        "gold_product_performance": gold_product_performance(T),
-    }
+    """All five marts (planned lazily, on first access)."""
+    from ..sources.fixtures import LazyFrames
+    return LazyFrames({name: (lambda fn=fn: fn(T)) for name, fn in GOLD_BUILDERS.items()})

@@ -130,12 +130,12 @@ def daily_kpis(T: Mapping[str, DataFrame], filters: Mapping | None = None) -> Da
 
 
 # ------------------------------------------------------------------------ M8
-def metric_context(T: Mapping[str, DataFrame], prepare=None) -> DataFrame:
+def metric_context(T: Mapping[str, DataFrame], prepare=None, experiment: DataFrame | None = None) -> DataFrame:
     """M3 + M4 + M5 + M6 (unfiltered) as one tall frame (section, payload
     JSON with NULL fields kept). Each part is a small result, never a raw
     table. ``prepare`` optionally maps each part first (e.g. rounding)."""
     parts = {
-        "executive": executive_metrics(T),
+        "executive": executive_metrics(T, experiment=experiment),
         "funnel": funnel_metrics(T),
         "experiment": experiment_results(T),
         "segments": segment_performance(T),
@@ -155,7 +155,8 @@ def metric_context(T: Mapping[str, DataFrame], prepare=None) -> DataFrame:
 SIDEBAR_ORDER = ("device_type", "region", "customer_type", "loyalty_flag", "channel")
 
 
-def kpi_cube(T: Mapping[str, DataFrame], dims: Sequence[str] = SIDEBAR_ORDER) -> DataFrame:
+def kpi_cube(T: Mapping[str, DataFrame], dims: Sequence[str] = SIDEBAR_ORDER,
+             experiment: DataFrame | None = None) -> DataFrame:
     """Every filter combination of the dashboard in one pass: the M3 KPIs
     (sessions, active users, orders, revenue, AOV, conversion) for each slice of
     ``dims`` where a rolled-up dim reads "All", plus the active-filter text (N7).
@@ -194,7 +195,7 @@ def kpi_cube(T: Mapping[str, DataFrame], dims: Sequence[str] = SIDEBAR_ORDER) ->
         return F.initcap(v) if d == "loyalty_flag" else v
     text_parts = [F.when(F.col(f"_g_{d}") == 0,
                          F.concat(F.lit(d.replace("_", " ") + " = "), shown(d))) for d in dims]
-    uplift = _overall_uplift(T)
+    uplift = _overall_uplift(T, experiment)
     aov = F.coalesce(safe_div(F.col("revenue"), orders), F.lit(0.0))
     # The uplift frame is one row; the cube is at most 4*3*6*3*3 rows here.
     return cube.crossJoin(F.broadcast(uplift)).select(

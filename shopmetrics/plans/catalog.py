@@ -23,7 +23,7 @@ from ..operators import retrieval as RT
 from ..operators.base import filtered_session_users
 from ..operators.silver import CLEANERS
 from ..sources.fixtures import raw_entities, read_table
-from .layers import clean_tables
+from .layers import clean_tables, gold_layer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,19 +55,20 @@ def _on_clean(fn: Callable[[dict], DataFrame]) -> Query:
     return q
 
 
-def _insight_rows(T):
-    return N.insight_rows(M.kpi_cube(T), X.experiment_summary(T))
+def _insight_rows(T, g3):
+    return N.insight_rows(M.kpi_cube(T, experiment=g3), X.experiment_summary(T))
 
 
-def _kpi_cards(T):
-    return N.kpi_cards(M.executive_metrics(T), X.experiment_summary(T))
+def _kpi_cards(T, g3):
+    return N.kpi_cards(M.executive_metrics(T, experiment=g3), X.experiment_summary(T))
 
 
 def _report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     T_ = clean_tables(spark, sf_dir)
     docs = RT.documents_table(read_table(spark, sf_dir, "documents"))
     questions = RT.questions_from_conversations(read_table(spark, sf_dir, "conversations"))
-    metrics = M.executive_metrics(T_).withColumn("filter_text", F.lit("Active filters: All traffic"))
+    g3 = gold_layer(spark, sf_dir)["gold_experiment_results"]
+    metrics = M.executive_metrics(T_, experiment=g3).withColumn("filter_text", F.lit("Active filters: All traffic"))
     insight = N.insight_rows(metrics, X.experiment_summary(T_)).select(
         "filter_text", "insight", "evidence", "recommendation", "confidence_level", "validation_notes")
     contexts = RT.format_context(docs, RT.top_documents(docs, questions))
@@ -138,6 +139,17 @@ def _docs_questions(fn) -> Query:
     return q
 
 
+def _with_gold(fn) -> Query:
+    """Queries that, like the shop's metric queries, read the persisted Gold
+    experiment mart (for the unfiltered uplift) next to the clean tables."""
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        T_ = clean_tables(spark, sf_dir)
+        g3 = gold_layer(spark, sf_dir)["gold_experiment_results"]
+        return rounded(fn(T_, g3))
+    q.__doc__ = fn.__doc__
+    return q
+
+
 def _raw_and_clean(fn) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(fn(clean_tables(spark, sf_dir), raw_entities(spark, sf_dir)))
@@ -166,8 +178,8 @@ def queries() -> dict[str, Query]:
     # M1-M9
     q["filtered_sessions"] = _on_clean(lambda T: filtered_session_users(T, SLICE_FILTER))
     q["filter_options"] = _on_clean(M.filter_options)
-    q["executive_metrics"] = _on_clean(M.executive_metrics)
-    q["executive_metrics_mobile"] = _on_clean(lambda T: M.executive_metrics(T, MOBILE))
+    q["executive_metrics"] = _with_gold(lambda T, g3: M.executive_metrics(T, experiment=g3))
+    q["executive_metrics_mobile"] = _with_gold(lambda T, g3: M.executive_metrics(T, MOBILE, experiment=g3))
     q["funnel_metrics"] = _on_clean(M.funnel_metrics)
     q["funnel_metrics_mobile"] = _on_clean(lambda T: M.funnel_metrics(T, MOBILE))
     q["experiment_results"] = _on_clean(M.experiment_results)
@@ -175,8 +187,8 @@ def queries() -> dict[str, Query]:
     q["segment_performance"] = _on_clean(M.segment_performance)
     q["segment_performance_filtered"] = _on_clean(lambda T: M.segment_performance(T, MULTI_FILTER))
     q["daily_kpis_filtered"] = _on_clean(lambda T: M.daily_kpis(T, MULTI_FILTER))
-    q["metric_context"] = _on_clean(lambda T: M.metric_context(T, prepare=rounded))
-    q["kpi_cube"] = _on_clean(M.kpi_cube)
+    q["metric_context"] = _with_gold(lambda T, g3: M.metric_context(T, prepare=rounded, experiment=g3))
+    q["kpi_cube"] = _with_gold(lambda T, g3: M.kpi_cube(T, experiment=g3))
     # X1-X4
     q["ab_test_segments"] = _on_clean(X.experiment_readout)
     q["experiment_summary"] = _on_clean(X.experiment_summary)
@@ -193,8 +205,8 @@ def queries() -> dict[str, Query]:
     q["mobile_segment"] = _on_clean(lambda T: D.segment_slice(M.segment_performance(T)))
     q["lowest_segments"] = _on_clean(lambda T: D.lowest_segments(G.gold_segment_performance(T)))
     # N1-N5 (N6/N7 are columns of M4-M7 and of the cube)
-    q["insight_rows"] = _on_clean(_insight_rows)
-    q["kpi_cards"] = _on_clean(_kpi_cards)
+    q["insight_rows"] = _with_gold(_insight_rows)
+    q["kpi_cards"] = _with_gold(_kpi_cards)
     q["tolerant_json"] = _tolerant_json
     q["report_bundle"] = _report_bundle
     # B1, K2

@@ -54,8 +54,31 @@ def _clean_tables_locked(spark, sf_dir, materialized, key):
     return _CLEAN[key]
 
 
-def gold_from(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return gold_tables(clean_tables(spark, sf_dir))
+_GOLD: dict[tuple, dict] = {}
+
+
+def gold_layer(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Gold marts over the (materialised) Silver layer, each written once per
+    session to the shared folder on first use and read back -- the marts the
+    metric queries read, as the shop's own metric queries read its Gold
+    tables."""
+    import hashlib
+    from ..session import app_key, shared_dir
+    from ..sources.fixtures import LazyFrames
+    key = (app_key(spark), sf_dir.rstrip("/"))
+    with _BUILD_LOCK:
+        if key not in _GOLD:
+            lazy = gold_tables(clean_tables(spark, sf_dir))
+            tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:10]
+            root = shared_dir(spark, f"gold-{app_key(spark)}-{tag}")
+
+            def build(name: str) -> DataFrame:
+                path = f"{root}/{name}"
+                with _BUILD_LOCK:
+                    lazy[name].write.mode("overwrite").parquet(path)
+                    return spark.read.parquet(path)
+            _GOLD[key] = LazyFrames({n: (lambda n=n: build(n)) for n in lazy.keys()})
+        return _GOLD[key]
 
 
 def materialise(dfs: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:
