@@ -31,3 +31,30 @@ def test_segment_fanout_scans_base_once(spark):
 def test_filters_reach_the_scan(spark):
     plan = _plan(E.queries()["segment_performance_filtered"](spark, SF))
     assert "EqualTo(device_type,mobile)" in plan and "EqualTo(customer_type,returning)" in plan
+
+
+def test_keyword_scoring_has_no_cross_product(spark):
+    plan = _plan(E.queries()["keyword_scores"](spark, SF))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_experiment_results_shuffles_at_scale(spark):
+    """With broadcasts off (every table treated as large): three exchanges on
+    user_id, two on session_id, one for the segment merge -- the per-session
+    aggregate reuses the session_id partitioning."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        df = E.queries()["experiment_results"](spark, SF)
+        df.write.format("noop").mode("overwrite").save()
+        plan = _plan(df)
+        assert plan.count("Exchange hashpartitioning") == 6
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
