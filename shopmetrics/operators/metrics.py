@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gold as G
@@ -26,25 +26,24 @@ TEXT_OPTION_DIMS = (("device_type", "clean_sessions"), ("region", "clean_users")
 # ------------------------------------------------------------------------ M2
 def filter_options(T: Mapping[str, DataFrame]) -> DataFrame:
     """(dimension, value, position): "All" first, then the sorted distinct
-    values of the four text dims; loyalty is the fixed [All, True, False]."""
+    values of the four text dims; loyalty is the fixed [All, True, False].
+    One scan per table emits (dimension, value) pairs; the rank is a window
+    partitioned by dimension."""
     spark = T["clean_sessions"].sparkSession
-    parts = []
+    by_table: dict[str, list[str]] = {}
     for dim, table in TEXT_OPTION_DIMS:
-        vals = T[table].select(F.col(dim).alias("value")).distinct()
-        parts.append(vals.select(F.lit(dim).alias("dimension"), "value",
-                                 (F.dense_rank().over(_by_value()) ).cast("int").alias("position")))
+        by_table.setdefault(table, []).append(dim)
+    pairs = None
+    for table, dims in by_table.items():
+        p = T[table].select(F.inline(F.array(*[
+            F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])))
+        pairs = p if pairs is None else pairs.unionByName(p)
+    w = Window.partitionBy("dimension").orderBy(F.col("value").asc_nulls_last())
+    ranked = pairs.distinct().select("dimension", "value", F.dense_rank().over(w).cast("int").alias("position"))
     fixed = [(d, ALL, 0) for d, _ in TEXT_OPTION_DIMS]
     fixed += [("loyalty_flag", str(v) if v == ALL else str(v).lower(), i) for i, v in enumerate(LOYALTY_OPTIONS)]
     out = literal_table(spark, fixed, [("dimension", "string"), ("value", "string"), ("position", "int")])
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
-def _by_value():
-    from pyspark.sql import Window
-    # Distinct values of one dimension are few (a handful of categories).
-    return Window.orderBy(F.col("value").asc_nulls_last())
+    return out.unionByName(ranked)
 
 
 # ------------------------------------------------------------------------ M3
