@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, secret_scans, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op6_token_counts": token_counts.op6_token_counts,
         "op8_sharding": sharding.op8_sharding,
+        "op10_secret_scans": secret_scans.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op6_token_counts": token_counts.ORACLE_SQL}
