@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing, secret_scans, sharding, token_counts
+from . import byte_bpe, exact_dedup, fingerprints, packing, secret_scans, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_sharding": sharding.op8_sharding,
