@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 from .text_cuts import CutMemo
 
 MAX_STATES = 100_000
@@ -274,6 +274,8 @@ def _codec(ranks_path: str, pattern: str) -> Codec:
 
 def codec_rows(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded] of every text."""
+    ship(docs.sparkSession)
+
     def run(batches):
         codec = _codec(ranks_path, pattern)
         digits = list(map(str, range(1 + max(codec._decoder._tokens))))

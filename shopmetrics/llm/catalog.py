@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprints, packing, secret_scans, sharding, token_counts
+from . import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secret_scans, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_sharding": sharding.op8_sharding,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_secret_scans": secret_scans.op10_secret_scans,
     }
 

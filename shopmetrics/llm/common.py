@@ -3,7 +3,10 @@ intermediates, text normalisation and skew-safe ranks."""
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,3 +67,33 @@ def rank_within(df: DataFrame, key: str, order: list[str], salt: Column, out: st
             .join(shift, [key, "_salt"])
             .withColumn(out, (F.col("_before") + F.col("_rank")).cast("long"))
             .drop("_salt", "_before", "_rank"))
+
+
+def small_enough(df: DataFrame, row_bytes: int = 64, limit_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to be within ``limit_bytes``;
+    unmarked otherwise, so that the join shuffles. ``df`` should be durable."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each application: a zip in
+    the shared folder, registered with the context. Needed where the executors
+    have not installed it; tasks that run Python functions call it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/code-{uuid.uuid4().hex}/{package.name}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(at)
+    _SHIPPED.add(sc.applicationId)

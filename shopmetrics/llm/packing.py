@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, durable, rank_within, table
+from .common import buckets, durable, rank_within, ship, table
 from .text_cuts import CutMemo
 
 CAPACITY = 1024
@@ -76,6 +76,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """Pieces of every document: doc_id, piece, start, length, ids_crc32[, ids]."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
     end = int(end_id).to_bytes(4, "little")
+    ship(docs.sparkSession)
 
     def cut(batches):
         encoder = _encoder(tokenizer_path)
