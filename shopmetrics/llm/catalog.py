@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secret_scans, sharding, token_counts
+from . import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secret_scans, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
@@ -23,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op6_token_counts": token_counts.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+            "op6_token_counts": token_counts.ORACLE_SQL}
