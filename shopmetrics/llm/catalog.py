@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secret_scans, sharding, substring_dedup, token_counts
+from . import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secret_scans, sharding, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_token_counts": token_counts.op6_token_counts,
