@@ -22,21 +22,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow intermediate: a reliable checkpoint in the
-    folder all executors share (``spark.checkpoint.dir``), so that a lost
-    executor costs a re-read and not a recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Like :func:`durable` for wide rows: a Parquet table (compressed, prunable
-    columns) in a folder of its own below the shared checkpoint folder."""
+def written(df: DataFrame, name: str = "part") -> DataFrame:
+    """Cut the lineage: a Parquet table in a folder of its own below the folder
+    all executors share (``spark.checkpoint.dir``). A lost executor costs a
+    re-read and not a recomputation; columns stay prunable, sizes are known to
+    the planner, and (unlike after ``checkpoint()``) no inferred constraints of
+    the plan behind are carried on, which grow from turn to turn in a loop."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+durable = written
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete tables of :func:`written` that nothing lazy refers to any more."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            df._written_to = None
 
 
 def text_or_empty(col: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, forget
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,10 +19,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        nearer = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        nearer = durable(nearer)
+        nearer = durable(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
         up = nearer.select(F.col("node").alias("label"), F.col("label").alias("up"))
         following = durable(nearer.join(up, "label").select("node", "was", F.least("label", "up").alias("label")))
-        labels = following.select("node", "label")
-        if following.where("label <> was").isEmpty():
-            return labels
+        done = following.where("label <> was").isEmpty()
+        forget(nearer, labels)
+        labels = following
+        if done:
+            forget(both)
+            return labels.select("node", "label")

@@ -14,7 +14,7 @@ least values. Documents with equal sets form one class and go on as one node.
    the union-sketch estimate and then the exact Jaccard on full sets, and what
    is confirmed joins components. A list is settled when its members that were
    not hubs lie in one component, as no pair that is left could change that.
-   Unsettled lists go on with four times as many hubs, down to the last pair.
+   Unsettled lists go on with eight times as many hubs, down to the last pair.
 3. Components by least label. Every document gets its class's label.
 
 Skew: lists, classes and hubs of any size are spread by joins that adaptive
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship, small_enough, table
+from .common import durable, forget, ship, small_enough, table
 from .components import components
 
 K = 32
@@ -47,7 +47,7 @@ SHARED = 17            # t for sketches that do not hold the whole set
 PERCENT = 80           # similarity that links
 ESTIMATE_PERCENT = 53  # union-sketch estimate that goes on to the exact test
 WORDS_KNOWN = 300_000
-HUB_GROWTH = 4
+HUB_GROWTH = 8
 
 
 # ------------------------------------------------------------------- shingles
@@ -204,8 +204,10 @@ def near_components(docs: DataFrame, width: int = 2, k: int = K, shared: int = S
         links = linked if links is None else durable(links.union(linked))
         labels = components(links)
         # Hubs have met all members of their lists and leave them.
-        lists = durable(now.select("value", "node", "n", "central")
-                        .join(hubs.select("value", "node"), ["value", "node"], "left_anti"))
+        left = durable(now.select("value", "node", "n", "central")
+                       .join(hubs.select("value", "node"), ["value", "node"], "left_anti"))
+        forget(now, hubs, lists)
+        lists = left
         hubs_each *= HUB_GROWTH
     of_class = classes.select("digest", "node")
     if labels is not None:
