@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import durable, small_enough, table, text_or_empty
 
 RUN = 2
-MIN_WORDS = 12
+MIN_WORDS = 8
 _NUL = "\x00"
 # A sentence ends at a line feed, or at the blanks after a closing mark.
 _END = r"(\n+|[.!?]+[\x20\x09-\x0D]+)"
