@@ -9,16 +9,10 @@ from pyspark.sql import functions as F
 CURRENCY = "GBP"
 
 
-TIE_NUDGE = 1e-9
-
-
 def stable(col: Column) -> Column:
-    """Round to 6 places after a 1e-9 nudge away from zero. Sums of money
-    carry summation-order noise of a few ulps; without this a value whose exact
-    result sits on a formatting tie (1663.5, 67.865) would print differently
-    depending on the order rows were added."""
-    c = col.cast("double")
-    return F.round(c + F.signum(c) * F.lit(TIE_NUDGE), 6)
+    """The value without the noise of a few units in the last place that the order
+    of summation leaves: nine decimals, far below any digit that is printed."""
+    return F.round(col.cast("double"), 9)
 
 
 def thousands(col: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import (explode_segments, filtered_session_users, literal_table, safe_div, sort_small,
+from .base import (SESSION_DIMS, USER_DIMS, apply_filters, explode_segments, filtered_session_users, literal_table, safe_div, sort_small,
                    with_order_stats)
 
 # The ordered funnel step list.
@@ -100,30 +100,44 @@ def gold_funnel_metrics(T: Mapping[str, DataFrame], steps: Sequence[tuple[str, i
 # ------------------------------------------------------------------- G3 / M5
 def experiment_base(T: Mapping[str, DataFrame], filters: Mapping | None = None,
                     experiment_name: str | None = None) -> DataFrame:
-    """sessions x users x assignments (on user) LEFT JOIN orders-per-session.
+    """Sessions with their orders, summed to one row per (user, device, channel),
+    then joined to users and to assignments (on user only: the reference does
+    not filter the experiment; ``experiment_name`` optionally restricts it).
 
-    Assignments join on user only (the reference does not filter the
-    experiment); ``experiment_name`` optionally restricts it."""
+    The sums are combined map-side before the user join, so a user with a third
+    of all sessions arrives there as a handful of rows. Sessions are unique
+    after Silver, so their number is a count."""
     a = T["clean_experiment_assignments"]
     if experiment_name is not None:
         a = a.where(F.col("experiment_name") == F.lit(experiment_name))
-    base = filtered_session_users(T, filters).join(a.select("user_id", "variant"), "user_id")
-    return with_order_stats(base, T["clean_orders"])
+    s = apply_filters(T["clean_sessions"].select("session_id", "user_id", "device_type", "channel"), filters, SESSION_DIMS)
+    u = apply_filters(T["clean_users"].select("user_id", "region", "customer_type", "loyalty_flag"), filters, USER_DIMS)
+    per_user = (with_order_stats(s, T["clean_orders"]).groupBy("user_id", "device_type", "channel")
+                .agg(F.count(F.lit(1)).alias("sessions"), F.sum("conversions").alias("conversions"),
+                     F.sum("revenue").alias("revenue"), F.sum("nonzero_orders").alias("nonzero_orders")))
+    return per_user.join(u, "user_id").join(a.select("user_id", "variant"), "user_id")
 
 
 def experiment_aggregate(base: DataFrame, segments) -> DataFrame:
     """Per (segment_type, segment_value, variant): distinct sessions, sum of
-    conversions (orders, Q-2), rate, revenue, mean non-zero order revenue."""
-    seg = explode_segments(base.select("session_id", "variant", "device_type", "channel", "region",
-                                       "customer_type", "loyalty_flag", "conversions", "revenue",
-                                       "nonzero_orders"), segments)
-    conv = F.sum("conversions")
-    return seg.groupBy("segment_type", "segment_value", "variant").agg(
-        F.countDistinct("session_id").alias("sessions"),
+    conversions (orders, Q-2), rate, revenue, mean non-zero order revenue.
+
+    Repeated user or assignment rows repeat a (user, device, channel) row: its
+    orders then count again, as in the reference's join, while its distinct
+    sessions count once per segment and variant (the max of equal counts)."""
+    own = ["user_id", "device_type", "channel"]
+    seg = explode_segments(base, segments)
+    keys = ["segment_type", "segment_value", "variant"]
+    per_user = (seg.groupBy(*keys, *own).agg(
+        F.max("sessions").alias("s"), F.sum("conversions").alias("c"),
+        F.sum("revenue").alias("r"), F.sum("nonzero_orders").alias("nz")))
+    sessions, conv = F.sum("s"), F.sum("c")
+    return per_user.groupBy(*keys).agg(
+        sessions.alias("sessions"),
         conv.alias("conversions"),
-        safe_div(conv, F.countDistinct("session_id")).alias("conversion_rate"),
-        F.sum("revenue").alias("revenue"),
-        safe_div(F.sum("revenue"), F.sum("nonzero_orders")).alias("avg_order_value"),
+        safe_div(conv, sessions).alias("conversion_rate"),
+        F.sum("r").alias("revenue"),
+        safe_div(F.sum("r"), F.sum("nz")).alias("avg_order_value"),
     )
 
 

@@ -166,19 +166,19 @@ def kpi_cube(T: Mapping[str, DataFrame], dims: Sequence[str] = SIDEBAR_ORDER,
     users still dedupe per slice; distinct sessions are summed per (dims, user),
     which is exact while each session carries one set of dim values (sessions
     are unique after Silver; user rows of one id agree on their dims)."""
-    # Orders meet sessions first (both keyed by session_id), then users: the
-    # result is partitioned by user_id, which is what the per-(dims, user)
-    # pre-aggregation needs -- no extra shuffle of session-level rows.
+    # Orders meet sessions (both keyed by session_id), then sessions are summed
+    # per user and session dims with map-side combine: a hot user reaches the
+    # join with users as a few rows.
     sess_dims = [d for d in dims if d in ("device_type", "channel")]
     user_dims = [d for d in dims if d not in sess_dims]
     st = session_order_stats(T["clean_orders"])
-    per_session = (T["clean_sessions"].select("session_id", "user_id", *sess_dims)
-                   .join(st, "session_id", "left")
-                   .join(T["clean_users"].select("user_id", *user_dims), "user_id"))
-    per_user = per_session.groupBy(*dims, "user_id").agg(
-        F.countDistinct("session_id").alias("sessions"),
-        F.sum(F.coalesce(F.col("n_orders"), F.lit(0))).alias("orders"),
-        F.sum(F.coalesce(F.col("rev_sum"), F.lit(0.0))).alias("revenue"))
+    per_own = (T["clean_sessions"].select("session_id", "user_id", *sess_dims)
+               .join(st, "session_id", "left").groupBy("user_id", *sess_dims).agg(
+                   F.count(F.lit(1)).alias("s"),
+                   F.sum(F.coalesce(F.col("n_orders"), F.lit(0))).alias("o"),
+                   F.sum(F.coalesce(F.col("rev_sum"), F.lit(0.0))).alias("r")))
+    per_user = per_own.join(T["clean_users"].select("user_id", *user_dims), "user_id").groupBy(*dims, "user_id").agg(
+        F.max("s").alias("sessions"), F.sum("o").alias("orders"), F.sum("r").alias("revenue"))
     cube = per_user.cube(*dims).agg(
         F.sum("sessions").alias("sessions"),
         F.countDistinct("user_id").alias("active_users"),

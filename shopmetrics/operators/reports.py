@@ -7,8 +7,6 @@ the KPI cube or per question.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +123,17 @@ def _strip_ws(col):
     return F.regexp_replace(col, f"^{_WS}+|{_WS}+$", "")
 
 
+def _whole_json(text):
+    """The JSON value that ``text`` is from end to end, else NULL. The parser stops
+    after the first value, so the text is wrapped as the first of two elements;
+    the second, a hash of the text, must be found right behind it."""
+    mark = F.sha2(text, 256)
+    wrapped = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
+    value = F.try_parse_json(wrapped)
+    two = (F.json_array_length(wrapped) == 2) & (F.try_variant_get(value, "$[1]", "string") == mark)
+    return F.when(F.coalesce(two, F.lit(False)), F.try_variant_get(value, "$[0]", "variant"))
+
+
 def parse_json_column(df: DataFrame, col: str = "response") -> DataFrame:
     """Tolerant JSON parse of a text column. Strip; drop a leading code
     fence (optional ``json`` tag, any case) and a trailing one; parse; else
@@ -133,22 +142,29 @@ def parse_json_column(df: DataFrame, col: str = "response") -> DataFrame:
     cleaned = _strip_ws(F.col(col))
     cleaned = _strip_ws(F.regexp_replace(cleaned, r"^```(?i:json)?", ""))
     cleaned = _strip_ws(F.regexp_replace(cleaned, r"```$", ""))
-    whole = F.try_parse_json(cleaned)
+    # Of keys that repeat the last value holds, as in Python's json.
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    whole = _whole_json(cleaned)
     inner_text = F.regexp_extract(cleaned, r"(?s)\{.*\}", 0)
-    inner = F.when(inner_text != "", F.try_parse_json(inner_text))
+    inner = F.when(inner_text != "", _whole_json(inner_text))
     parsed = F.coalesce(whole, inner)
     return df.withColumn("parsed", F.to_json(parsed)).withColumn("is_json", parsed.isNotNull())
 
 
 def responses_from_events(events: DataFrame) -> DataFrame:
     """Fixture for N4: model-style responses built from every event's props
-    JSON -- fenced, wrapped in prose, broken, or bare (by event id)."""
+    JSON -- fenced, wrapped in or behind prose, broken, doubled, bare, or no JSON
+    at all (by event id)."""
     events = ensure_parallelism(events)  # regex + JSON parsing per row: spread a narrow scan
     p = F.col("props")
-    shape = F.col("event_id") % 4
+    shape = F.col("event_id") % 8
     text = (F.when(shape == 0, F.concat(F.lit("```json\n"), p, F.lit("\n```")))
              .when(shape == 1, F.concat(F.lit("Here is the summary: "), p, F.lit(" -- end of answer.")))
              .when(shape == 2, F.regexp_replace(p, r"\}$", ""))
+             .when(shape == 4, F.concat(F.lit("3 segments are weak: "), p))
+             .when(shape == 5, F.concat(p, F.lit(" and "), p))
+             .when(shape == 6, F.lit("true story"))
+             .when(shape == 7, F.lit("[1,2] trailing"))
              .otherwise(p))
     return events.select("event_id", text.alias("response"))
 
@@ -179,9 +195,3 @@ def kpi_cards(metrics: DataFrame, summary: DataFrame) -> DataFrame:
                for i, ((label, helper), (value, text)) in enumerate(zip(KPI_CARDS, cards))]
     return j.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
 
-
-def report_inputs(T: Mapping[str, DataFrame]) -> dict:
-    """Shared inputs of the report queries (unfiltered)."""
-    from .experiment import experiment_summary
-    from .metrics import executive_metrics
-    return {"metrics": executive_metrics(T), "summary": experiment_summary(T)}

@@ -27,7 +27,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_col: str,
     ``tiebreak`` columns make the choice repeatable when timestamps tie.
     """
     order: list[Column] = [F.col(order_col).asc_nulls_last()]
-    order += [F.col(c).asc_nulls_last() for c in tiebreak]
+    # All other columns come last, so that full ties are rows with equal values.
+    order += [F.col(c).asc_nulls_last() for c in [*tiebreak, *(c for c in df.columns if c not in {*keys, order_col, *tiebreak})]]
     w = Window.partitionBy(*keys).orderBy(*order)
     return (df.withColumn("_rn", F.row_number().over(w))
               .where(F.col("_rn") == 1)
@@ -37,7 +38,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_col: str,
 def tolerant_bigint(col: Column) -> Column:
     """TRY_CAST to BIGINT that accepts float text ('12.0' -> 12, '12.7' -> 13,
     '' or 'x' -> NULL), matching a SQL engine that rounds float strings."""
-    return F.rint(col.try_cast("double")).try_cast("bigint")
+    exact = col.try_cast("bigint")
+    rounded = F.round(col.try_cast("decimal(38,18)"), 0).try_cast("bigint")  # half away from zero
+    return F.coalesce(exact, rounded)
 
 
 def clean_users(raw: DataFrame) -> DataFrame:

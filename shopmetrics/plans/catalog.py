@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.formatting import stable
 from ..operators import experiment as X
 from ..operators import gold as G
 from ..operators import metrics as M
@@ -32,7 +31,8 @@ def round6(c):
     """Comparison rounding: 6 places after a 1e-9 nudge away from zero, so a
     value sitting on a rounding tie (e.g. 1369.27 / 32 = 42.7896875) rounds the
     same way whatever ulp-level noise the summation order left on it."""
-    return stable(c)
+    c = c.cast("double")
+    return F.round(c + F.signum(c) * F.lit(1e-9), 6)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

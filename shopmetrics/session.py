@@ -73,6 +73,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return (sc.getCheckpointDir() if sc is not None else None) or current
+    master = sc.master if sc is not None else ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     key = app_key(spark)
     if key not in _LOCAL_CKPT:
         _LOCAL_CKPT[key] = tempfile.mkdtemp(prefix="shopmetrics-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

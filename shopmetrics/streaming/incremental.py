@@ -38,7 +38,7 @@ def raw_events_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return r.load(path)
 
 
-def clean_events_stream(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
+def clean_events_stream(raw: DataFrame, delay: str = "1 day") -> DataFrame:
     """S4 on a stream: the batch cleaner's projections and filters, then
     watermark-bounded dedup of event ids."""
     df = raw.select(
