@@ -81,7 +81,7 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     return e.select(
         "event_id", "user_id", "ts",
-        (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("session_id"),
+        (F.col("user_id") * 10_000_000 + F.year("ts") * 1000 + F.dayofyear("ts")).alias("session_id"),
         _event_name(F.col("event_type")).alias("event_name"),
         "value",
         F.regexp_extract("props", r"([0-9]+)", 1).cast("bigint").alias("k"),
