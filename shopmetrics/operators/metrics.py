@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gold as G
-from .base import (ALL, eligible_sessions, filtered_session_users, literal_table, safe_div,
+from .base import (ALL, active_filters, eligible_sessions, filtered_session_users, literal_table, safe_div,
                    session_order_stats, sort_small)
 
 # Fixed value: the loyalty options are listed, not queried.
@@ -154,6 +154,13 @@ def metric_context(T: Mapping[str, DataFrame], prepare=None, experiment: DataFra
 SIDEBAR_ORDER = ("device_type", "region", "customer_type", "loyalty_flag", "channel")
 
 
+def filter_text(filters: Mapping | None = None) -> str:
+    """N7 for one selection: the active filters in the order of the dashboard."""
+    active = active_filters(filters)
+    parts = [f"{d.replace('_', ' ')} = {active[d]}" for d in SIDEBAR_ORDER if d in active]
+    return "Active filters: " + (", ".join(parts) or "All traffic")
+
+
 def kpi_cube(T: Mapping[str, DataFrame], dims: Sequence[str] = SIDEBAR_ORDER,
              experiment: DataFrame | None = None) -> DataFrame:
     """Every filter combination of the dashboard in one pass: the M3 KPIs

@@ -63,12 +63,14 @@ def _kpi_cards(T, g3):
     return N.kpi_cards(M.executive_metrics(T, experiment=g3), X.experiment_summary(T))
 
 
-def _report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _report_bundle(spark: SparkSession, sf_dir: str, filters: dict | None = None) -> DataFrame:
+    """Metrics under ``filters`` beside the experiment, quality checks and
+    segments over all traffic, as the shop's report has them."""
     T_ = clean_tables(spark, sf_dir)
     docs = RT.documents_table(read_table(spark, sf_dir, "documents"))
     questions = RT.questions_from_conversations(read_table(spark, sf_dir, "conversations"))
     g3 = gold_layer(spark, sf_dir)["gold_experiment_results"]
-    metrics = M.executive_metrics(T_, experiment=g3).withColumn("filter_text", F.lit("Active filters: All traffic"))
+    metrics = M.executive_metrics(T_, filters, experiment=g3).withColumn("filter_text", F.lit(M.filter_text(filters)))
     insight = N.insight_rows(metrics, X.experiment_summary(T_)).select(
         "filter_text", "insight", "evidence", "recommendation", "confidence_level", "validation_notes")
     contexts = RT.format_context(docs, RT.top_documents(docs, questions))
@@ -209,6 +211,7 @@ def queries() -> dict[str, Query]:
     q["kpi_cards"] = _with_gold(_kpi_cards)
     q["tolerant_json"] = _tolerant_json
     q["report_bundle"] = _report_bundle
+    q["report_bundle_filtered"] = lambda spark, sf_dir: _report_bundle(spark, sf_dir, MULTI_FILTER)
     # B1, K2
     q["bronze_roundtrip"] = _bronze_roundtrip
     q["bronze_row_counts"] = _bronze_counts

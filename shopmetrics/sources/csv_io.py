@@ -9,9 +9,12 @@ STRING and cast by the Silver cleaners.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, DoubleType, LongType, StringType, StructField,
                                StructType, TimestampNTZType)
 
+from ..operators.silver import tolerant_bigint
+
 
 def _schema(*cols) -> StructType:
     return StructType([StructField(n, t, True) for n, t in cols])
@@ -41,16 +44,23 @@ RAW_SCHEMAS: dict[str, StructType] = {
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
-def ingest_csv(spark: SparkSession, raw_path: str, entity: str) -> DataFrame:
+# RFC 4180 quoting, blanks kept as they are.
+DIALECT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def ingest_csv(spark: SparkSession, raw_path: str, entity: str, multi_line: bool = True) -> DataFrame:
     """B1: ``<raw_path>/<entity>.csv`` (a file or a folder of part files) with
-    a header, as the entity's raw DataFrame."""
-    return (spark.read.schema(RAW_SCHEMAS[entity]).option("header", True)
+    a header, as the entity's raw DataFrame. Quoted line breaks need
+    ``multi_line``, under which one file is one task; files known to hold none
+    can be split without it."""
+    schema = RAW_SCHEMAS[entity]
+    # Whole numbers come as text: an id written as 12.0 is 12, not NULL.
+    as_read = StructType([StructField(f.name, S if f.dataType == L else f.dataType, True) for f in schema.fields])
+    rows = (spark.read.schema(as_read).options(**DIALECT).option("multiLine", multi_line)
             .option("timestampNTZFormat", TS_FORMAT).option("mode", "PERMISSIVE")
             .csv(f"{raw_path.rstrip('/')}/{entity}.csv"))
-
-
-def ingest_all(spark: SparkSession, raw_path: str) -> dict[str, DataFrame]:
-    return {e: ingest_csv(spark, raw_path, e) for e in RAW_SCHEMAS}
+    return rows.select(*[tolerant_bigint(F.col(f.name)).alias(f.name) if f.dataType == L else F.col(f.name)
+                         for f in schema.fields])
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
@@ -58,7 +68,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     coalesces to one part file -- only for small marts (a few hundred rows),
     never for entity-sized tables."""
     out = df.coalesce(1) if single_file else df
-    (out.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TS_FORMAT)
+    (out.write.mode("overwrite").options(**DIALECT).option("timestampNTZFormat", TS_FORMAT)
         .csv(path))
     return path
 
@@ -74,5 +84,5 @@ def export_marts(gold: dict[str, DataFrame], out_dir: str, marts=EXPORTED_MARTS)
 
 def read_csv_like(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Read a headered CSV back with the schema of ``like``."""
-    return (spark.read.schema(like.schema).option("header", True).option("timestampNTZFormat", TS_FORMAT)
-            .csv(path))
+    return (spark.read.schema(like.schema).options(**DIALECT).option("multiLine", True)
+            .option("timestampNTZFormat", TS_FORMAT).csv(path))
