@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.formatting import compact_currency, currency, fixed, percent, thousands
 from ..functions.text import PY_WHITESPACE, _char_class
-from ..session import ensure_parallelism
 
 # The rule-based report texts.
 RECOMMENDATION_TEXT = ("Prioritise checkout improvements for high-intent mobile users and scale the variant "
@@ -155,7 +154,6 @@ def responses_from_events(events: DataFrame) -> DataFrame:
     """Fixture for N4: model-style responses built from every event's props
     JSON -- fenced, wrapped in or behind prose, broken, doubled, bare, or no JSON
     at all (by event id)."""
-    events = ensure_parallelism(events)  # regex + JSON parsing per row: spread a narrow scan
     p = F.col("props")
     shape = F.col("event_id") % 8
     text = (F.when(shape == 0, F.concat(F.lit("```json\n"), p, F.lit("\n```")))

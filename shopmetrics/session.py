@@ -88,18 +88,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
-
-
-def ensure_parallelism(df, min_partitions: int | None = None):
-    """Spread a narrow scan over the session's parallelism before CPU-heavy
-    per-row work (tokenising whole documents). A large input already has at
-    least that many splits and is returned unchanged -- only a scan that would
-    run in a handful of tasks pays the (then small) round-robin shuffle."""
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 -- no RDD view (e.g. remote sessions): leave the plan alone
-        return df
-    return df.repartition(target)
