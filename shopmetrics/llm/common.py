@@ -86,6 +86,7 @@ def small_enough(df: DataFrame, row_bytes: int = 64, limit_bytes: int = 8 << 20)
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
 
 
+BATCH_ROWS = 1_000
 _SHIPPED: set[str] = set()
 
 
@@ -93,6 +94,10 @@ def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once for each application: a zip in
     the shared folder, registered with the context. Needed where the executors
     have not installed it; tasks that run Python functions call it."""
+    # Whole texts are long: a batch of the usual 10,000 would take tens of MB on
+    # both sides of the pipe.
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(BATCH_ROWS, int(spark.conf.get(name)) or BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

@@ -46,7 +46,7 @@ K = 32
 SHARED = 17            # t for sketches that do not hold the whole set
 PERCENT = 80           # similarity that links
 ESTIMATE_PERCENT = 53  # union-sketch estimate that goes on to the exact test
-WORDS_KNOWN = 300_000
+WORDS_KNOWN = 60_000
 HUB_GROWTH = 8
 
 
@@ -150,17 +150,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
     def test(batches):
         for batch in batches:
-            sets: dict[str | None, np.ndarray] = {}
-            keep = []
-            for ta, tb in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                a = sets.get(ta)
-                if a is None:
-                    if len(sets) > 64:
-                        sets.clear()
-                    a = sets[ta] = shingle_set(ta, width)
-                b = shingle_set(tb, width)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= percent * (len(a) + len(b) - common) and common > 0)
+            keep, last, of_last = [], None, None
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                for ta, tb in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
+                    if of_last is None or ta != last:  # the join brings a hub's pairs one after the other
+                        last, of_last = ta, shingle_set(ta, width)
+                    b = shingle_set(tb, width)
+                    common = len(np.intersect1d(of_last, b, assume_unique=True))
+                    keep.append(100 * common >= percent * (len(of_last) + len(b) - common) and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return left.join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long").distinct()
 
