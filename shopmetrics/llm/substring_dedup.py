@@ -19,8 +19,9 @@ Defined results
   matter, letters and marks do;
 - of equal spans inside one text the first stays; overlapping spans are removed
   over their union; kept sentences stay as they are, with what separates them;
-- rows that share a doc_id are told apart by their text; full repeats are one
-  row in the result (this operator removes passages, not rows);
+- rows that share a doc_id are told apart by their text; rows that repeat both
+  are one document and have equal rows in the result (this operator removes
+  passages, not rows);
 - a null doc_id comes after all others, so it never is the original;
 - extra columns are not read; an empty table gives an empty result.
 """
@@ -70,8 +71,8 @@ def repeated_sentences(docs: DataFrame, run: int = RUN, min_words: int = MIN_WOR
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_sentences, n_removed, chars_removed, text (what is left) for
-    every distinct (doc_id, text)."""
+    """doc_id, n_sentences, n_removed, chars_removed, text (what is left) of
+    every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.replace(text_or_empty("text"), F.lit(_NUL), F.lit(" ")).alias("text")) \
         .withColumn("doc_hash", F.xxhash64("text"))
     found = durable(repeated_sentences(rows, run, min_words)).select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), "covered")

@@ -88,8 +88,8 @@ def test_substring_dedup(spark):
 def test_substring_common_passage_and_repeated_rows(spark):
     rows = [(i, f"Head number {i} is mine alone. {PASSAGE} Tail number {i}.", "en", "hot", 0) for i in range(300)]
     got = substring_dedup.remove_repeats(frame(spark, rows + rows[:3])).collect()
-    assert sum(r.n_removed == 3 for r in got) == 299
-    assert [r.doc_id for r in got if r.n_removed == 0].count(0) >= 1
+    assert [r.doc_id for r in got if r.n_removed == 0] == [0, 0]  # both rows of the first document
+    assert all(r.n_removed == 3 for r in got if r.doc_id) and len(got) == 303
 
 
 # ------------------------------------------------------------------ near copies
