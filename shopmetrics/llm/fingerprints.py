@@ -141,19 +141,21 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
 
 
 def op5_fingerprints(spark, sf_dir: str, samples: int = SAMPLES) -> DataFrame:
-    rows = with_successor(table(spark, sf_dir, "documents").select("doc_id", "text"), buckets(spark))
+    rows = with_successor(table(spark, sf_dir, "documents").select("doc_id", "text"), buckets(spark, 8))
     half = F.floor(F.length("text") / 2).cast("int")
     both = rows.withColumn("_edited", F.concat(F.substr("text", F.lit(1), F.length("text") - half),
                                                F.substr(F.coalesce("_next", F.lit("")), F.lit(1), half)))
-    key = ["_bucket", "_row"]
+    # doc_id is no part of the key; with it both branches read the same columns
+    # of the texts' shuffle, so that it is made once.
+    key = ["_bucket", "_row", "doc_id"]
     sides = both.select(*key, F.posexplode(F.array("text", "_edited")).alias("_side", "_text"))
     found = signatures(term_rows(sides, "_text", [*key, "_side"]), [*key, "_side"], samples)
     pair = found.groupBy(*key).agg(F.max(F.when(F.col("_side") == 0, F.col("signature"))).alias("own"),
                                    F.max(F.when(F.col("_side") == 1, F.col("signature"))).alias("edited"))
     order = Window.partitionBy("_bucket").orderBy("_row")
     pair = pair.withColumn("after", F.lead("own").over(order))
-    facts = both.where(~F.col("_guest")).select(*key, "doc_id", F.length("text").cast("long").alias("n_chars"),
+    facts = both.where(~F.col("_guest")).select(*key, F.length("text").cast("long").alias("n_chars"),
                                                 F.sha2("_edited", 256).alias("edited_sha256"))
-    return facts.join(pair, key).select(
+    return facts.join(pair.drop("doc_id"), ["_bucket", "_row"]).select(
         "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"),
         likeness("own", "edited").alias("near_edited"), likeness("own", "after").alias("near_next"))
