@@ -24,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from dataclasses import dataclass
 
@@ -214,11 +215,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     picked = [(r["doc_id"], r["toxic"]) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
               for r in eligible.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most).collect()]
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))  # the sample's bound
-    rows = (docs.select("doc_id", text_or_empty("text").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-            .join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").collect())
-    if len({r["toxic"] for r in rows}) < 2:
-        return None
-    return learn([r["text"] for r in rows], [r["toxic"] for r in rows], n[1] / (n[0] + n[1]))
+    sample = (docs.select("doc_id", text_or_empty("text").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+              .join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")))
+    share = n[1] / (n[0] + n[1])
+    ship(spark)
+
+    def fit(batches):
+        rows = sorted((r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+        if len({r[2] for r in rows}) == 2:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([r[1] for r in rows], [r[2] for r in rows], share))], pa.binary())], names=["model"])
+    # The sample is bounded, so one task can hold it; the driver gets the weights.
+    found = sample.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
