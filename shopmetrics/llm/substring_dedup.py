@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_enough, table, text_or_empty
+from .common import durable, table, text_or_empty
 
 RUN = 2
 MIN_WORDS = 8
@@ -76,7 +76,7 @@ def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.replace(text_or_empty("text"), F.lit(_NUL), F.lit(" ")).alias("text")) \
         .withColumn("doc_hash", F.xxhash64("text"))
     found = durable(repeated_sentences(rows, run, min_words)).select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), "covered")
-    both = rows.join(small_enough(found, 256), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("doc_hash") == F.col("_h")), "left")
+    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("doc_hash") == F.col("_h")), "left")
     s = sentences(F.col("text"))
     mark = F.array_sort("covered")
     cut = F.aggregate(
