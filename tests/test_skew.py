@@ -20,6 +20,8 @@ def test_hot_user_and_hot_event_id(spark):
     overall = G.experiment_aggregate(G.experiment_base(T), [("overall", None)]).collect()
     assert sum(r.sessions for r in overall) == 90 and sum(r.conversions for r in overall) == 45
     assert abs(sum(r.revenue for r in overall) - sum(float(i % 7) for i in range(0, 90, 2))) < 1e-9
+    # The hot user meets users and assignments as sums per (device, channel).
+    assert G.experiment_base(T).where("user_id = 1").count() == 4
     cube_all = M.kpi_cube(T).where(" AND ".join(f"{d} = 'All'" for d in M.SIDEBAR_ORDER)).collect()[0]
     assert (cube_all.sessions, cube_all.active_users, cube_all.orders) == (90, 30, 45)
     seg = {(r.segment_type, r.segment_value): r.sessions for r in G.gold_segment_performance(T).collect()}
