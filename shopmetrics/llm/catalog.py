@@ -26,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL,
-            "op6_token_counts": token_counts.ORACLE_SQL}
+            "op6_token_counts": token_counts.ORACLE_SQL, "op9_near_dedup": near_dedup.ORACLE_SQL,
+            "op10_secret_scans": secret_scans.oracle_sql()}

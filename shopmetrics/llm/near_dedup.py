@@ -229,3 +229,32 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str | None = None) -> DataF
     shingles of five words at a similarity of 0.8 or more."""
     gone = durable(near_components(docs, width=5).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(small_enough(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+# All pairs that share a shingle, with exact set sizes.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
+                      ELSE w END AS sh FROM d
+), c AS (
+  SELECT min(doc_id) AS node, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh
+), e AS (
+  SELECT node, n, unnest(sh) AS x FROM c
+), p AS (
+  SELECT a.node AS a, b.node AS b
+  FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), l AS (
+  SELECT a, b FROM p UNION SELECT b, a FROM p
+), r AS (
+  SELECT node, node AS seen FROM c UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen
+), m AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id,
+       s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.node = c.node
+"""

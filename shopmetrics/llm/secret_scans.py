@@ -179,3 +179,46 @@ def redact_secrets(spark, docs: DataFrame, sf_dir: str | None = None, mark: str
         F.array_join(acc["out"], ""), F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
     clean = rows.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
     return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+
+
+def oracle_sql() -> str:
+    """The same spans in DuckDB: matches by cumulated lengths, entropy by counting
+    the characters of every window anew."""
+    def quoted(text):
+        return "'" + text.replace("'", "''") + "'"
+
+    def located(name, rank, kind, pattern, group, test):
+        return f"""{name} AS (
+  SELECT doc_id, {rank} AS rank, {quoted(kind)} AS kind, whole, part,
+         list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(wholes[1:i - 1], lambda g: length(g))), 0) AS start
+  FROM (SELECT doc_id, string_split_regex(text, {quoted(pattern)}) AS gaps, wholes, unnest(range(1, len(wholes) + 1)) AS i,
+               unnest(wholes) AS whole, unnest(regexp_extract_all(text, {quoted(pattern)}, {group})) AS part
+        FROM (SELECT *, regexp_extract_all(text, {quoted(pattern)}) AS wholes FROM d)) x
+  WHERE {test})"""
+    ctes = [located("k0", 0, "assign", ASSIGN, 2, "length(part) >= 12"), located("k1", 1, "access", ACCESS, 0, "length(part) >= 18"),
+            located("k2", 2, "hex", HEX, 0, "length(part) >= 16"),
+            """base AS (SELECT doc_id, rank, kind, start, start + length(whole) AS stop FROM
+  (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2) x)"""]
+    extra = []
+    for i, c in enumerate(CLASSES):
+        allowed = quoted("(?:" + "|".join(ALLOWED) + ")")
+        ctes.append(located(f"c{i}", 3 + i, c.kind, f"[{c.chars}]{{{c.window},}}", 0, f"NOT regexp_full_match(whole, {allowed})"))
+        ctes.append(f"""w{i} AS (
+  SELECT doc_id, rank, kind, start, o, ch, count(*) AS n FROM (
+    SELECT doc_id, rank, kind, start, o, unnest(string_split(substring(whole, (o + 1)::INTEGER, {c.window}), '')) AS ch
+    FROM (SELECT *, unnest(range(0, length(whole) - {c.window} + 1)) AS o FROM c{i}) y) z GROUP BY ALL),
+h{i} AS (
+  SELECT doc_id, rank, kind, start, o FROM w{i} GROUP BY ALL
+  HAVING log2({c.window}) - sum(n * log2(n)) / {c.window} >= {c.threshold} - 1e-9)""")
+        extra.append(f"SELECT doc_id, rank, kind, start + min(o) AS start, start + max(o) + {c.window} AS stop FROM h{i} GROUP BY doc_id, rank, kind, h{i}.start")
+    ctes.append("extra AS (SELECT * FROM (" + " UNION ALL ".join(extra) + """) x WHERE NOT EXISTS (
+  SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.start < x.stop AND x.start < b.stop))""")
+    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\n" + ",\n".join(ctes) + """,
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex, string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) AS spans
+      FROM base GROUP BY doc_id),
+f AS (SELECT doc_id, string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) AS spans
+      FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(g.spans, '')) AS base_sha256, coalesce(f.spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN f USING (doc_id)"""

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,18 @@ def test_secret_scans(spark, tmp_path):
     assert kinds == {"assign", "access", "hex", "entropy_hex", "entropy_base64"}
 
 
+def test_secret_scan_sql_agrees():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [[d, t] for d, t, *_ in SECRETS])
+    got = con.execute(secret_scans.oracle_sql())
+    names = [c[0] for c in got.description]
+    for row in got.fetchall():
+        r = dict(zip(names, row))
+        base, spans = brute_spans(dict((d, t) for d, t, *_ in SECRETS)[r["doc_id"]])
+        assert r["spans"] == as_text(spans) and r["base_sha256"] == hashlib.sha256(as_text(base).encode()).hexdigest()
+
+
 def test_redaction(spark):
     rows = SECRETS + [(20, None, "en", "a", None), (21, "clean text", "en", "a", 10)]
     df = frame(spark, rows)
