@@ -49,11 +49,6 @@ def erfc_nonneg(x: Column) -> Column:
              .otherwise(F.lit(0.0)))
 
 
-def two_sided_p(z: Column) -> Column:
-    """2 * (1 - Phi(|z|)) = erfc(|z| / sqrt(2))."""
-    return erfc_nonneg(F.abs(z) / F.lit(math.sqrt(2.0)))
-
-
 def with_two_proportion_test(df: DataFrame, cc: str, cn: str, vc: str, vn: str) -> DataFrame:
     """Append the two-proportion z-test columns to ``df`` given the names
     of the control/variant conversion and size columns.
