@@ -197,10 +197,12 @@ def near_components(docs: DataFrame, width: int = 2, k: int = K, shared: int = S
         if tried is not None:
             found = found.join(tried.union(tried.select(F.col("b"), F.col("a"))), ["a", "b"], "left_anti")
         found = durable(found)
-        linked = durable(confirmed(found, docs, width, percent))
-        tried = found if tried is None else durable(tried.union(found))
-        links = linked if links is None else durable(links.union(linked))
-        labels = components(links)
+        if not found.isEmpty():
+            linked = durable(confirmed(found, docs, width, percent))
+            tried = found if tried is None else durable(tried.union(found))
+            if not linked.isEmpty():
+                links = linked if links is None else durable(links.union(linked))
+                labels = components(links)
         # Hubs have met all members of their lists and leave them.
         left = durable(now.select("value", "node", "n", "central")
                        .join(hubs.select("value", "node"), ["value", "node"], "left_anti"))
