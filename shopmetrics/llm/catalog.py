@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op4_passage_dedup": substring_dedup.op4_passage_dedup,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,

@@ -4,19 +4,25 @@ Texts are cut into sentences; every run of ``run`` consecutive sentences with at
 least ``min_words`` words in all is hashed (SHA-256, cut to 128 bits, over its
 words with single spaces). Equal spans are found by one global aggregation on
 the hash; the first span by (doc_id, sentence) is the original, and every
-sentence that lies in a later one is removed.
+sentence that lies in a later one is removed. This is op4_substring_dedup, and
+what its SQL repeats. op4_passage_dedup also removes passages of ``width`` or
+more words that are equal wherever they start and end (passages.py), to the
+word: from texts without marks, and with the cut sentences at both ends.
 
 Plan: spans (hash, doc_id, position) are made in the scan; an aggregation with
 map-side combine gives the first place of each hash that occurs again; a join
 back on the hash, which adaptive execution splits where a passage is common,
 gives the places to remove; these are gathered per document and cut out of the
 text. Only hashes and places are shuffled for all spans; a list is gathered per
-document only, and holds no more than the document's sentences.
+document only, and holds no more than the document's sentences, or words where
+passages are asked for; then the texts are cut in Python, batch by batch.
 
 Defined results
 - null text counts as empty; texts with fewer than ``run`` sentences, or with no
   span of ``min_words`` words, are unchanged; white space in a span does not
   matter, letters and marks do;
+- a word is a run of non-blanks, and goes with the blanks behind it; passages
+  have the same order as spans, and equal texts of ``width`` words are one;
 - of equal spans inside one text the first stays; overlapping spans are removed
   over their union; kept sentences stay as they are, with what separates them;
 - rows that share a doc_id are told apart by their text; rows that repeat both
@@ -28,10 +34,14 @@ Defined results
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, table, text_or_empty
+from .passages import WIDTH, repeated_passages
 
 RUN = 2
 MIN_WORDS = 8
@@ -92,10 +102,73 @@ def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
                     (F.col("_chars") - F.length("text")).cast("long").alias("chars_removed"), "text"))
 
 
+def _cut(batches):
+    """The rows with ``covered`` (sentences) and ``ranges`` (words) cut out of the text."""
+    ends, word = re.compile(_END), re.compile(r"[^\x20\x09-\x0D]+")
+
+    def left(text, covered, ranges):
+        stops = [m.end() for m in ends.finditer(text)]
+        if text and (not stops or stops[-1] < len(text)):
+            stops.append(len(text))
+        begins = [0, *stops]
+        gone = [(begins[i], stops[i]) for i in covered or ()]
+        if ranges:
+            at = [m.start() for m in word.finditer(text)]
+            n = len(at)
+            at.append(len(text))  # blanks go with the word before them
+            gone += [(at[r["start"]], at[min(r["end"], n)]) for r in ranges if r["start"] < n]
+        union = []
+        for a, b in sorted(gone):
+            if union and a <= union[-1][1]:
+                union[-1][1] = max(union[-1][1], b)
+            else:
+                union.append([a, b])
+        out, last, n_removed, k = [], 0, 0, 0
+        for a, b in union:
+            out.append(text[last:a])
+            last = b
+            while k < len(stops) and begins[k] < a:
+                k += 1
+            while k < len(stops) and stops[k] <= b:
+                n_removed, k = n_removed + 1, k + 1
+        return "".join([*out, text[last:]]), n_removed
+
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        removed, chars = [0] * len(texts), [0] * len(texts)
+        for i, (covered, ranges) in enumerate(zip(batch.column("covered").to_pylist(), batch.column("ranges").to_pylist())):
+            if covered or ranges:
+                before = len(texts[i])
+                texts[i], removed[i] = left(texts[i], covered, ranges)
+                chars[i] = before - len(texts[i])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("n_sentences"), pa.array(removed, pa.int64()), pa.array(chars, pa.int64()), pa.array(texts, pa.string())],
+            names=["doc_id", "n_sentences", "n_removed", "chars_removed", "text"])
+
+
+def remove_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
+    """As :func:`remove_repeats`, and without every word of a repeated passage of
+    ``width`` words; n_removed counts the sentences that went whole."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.replace(text_or_empty("text"), F.lit(_NUL), F.lit(" ")).alias("text")) \
+        .withColumn("doc_hash", F.xxhash64("text"))
+    by_sentence = repeated_sentences(rows, run, min_words).withColumn("ranges", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
+    by_passage = repeated_passages(rows, width).withColumn("covered", F.lit(None).cast("array<int>"))
+    found = durable(by_sentence.unionByName(by_passage).groupBy("doc_id", "doc_hash").agg(
+        F.first("covered", True).alias("covered"), F.first("ranges", True).alias("ranges"))) \
+        .select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), "covered", "ranges")
+    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("doc_hash") == F.col("_h")), "left")
+    return both.select("doc_id", F.size(sentences(F.col("text"))).cast("long").alias("n_sentences"), "text", "covered", "ranges") \
+        .mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, chars_removed long, text string")
+
+
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_passage_dedup(spark, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,

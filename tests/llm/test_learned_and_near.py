@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -92,6 +93,56 @@ def test_substring_common_passage_and_repeated_rows(spark):
     assert all(r.n_removed == 3 for r in got if r.doc_id) and len(got) == 303
 
 
+def brute_passages(rows, width=50):
+    """{(doc_id, text): text without the words of repeated windows}, no sentences."""
+    docs = sorted({(d is None, d or 0, h, t) for d, h, t in rows})
+    first, gone = {}, {}
+    for k, (*_, t) in enumerate(docs):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        for at in range(len(words) - width + 1):
+            doc, place = first.setdefault(tuple(words[at:at + width]), (k, at))
+            if (doc, place) != (k, at):
+                gone.setdefault(k, set()).update(range(max(at, place + width) if doc == k else at, at + width))
+    out = {}
+    for k, (unnamed, d, _, t) in enumerate(docs):
+        parts = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t)
+        lead = re.match(r"[\x20\x09-\x0D]*", t)[0]
+        out[None if unnamed else d, t] = lead + "".join(w for i, w in enumerate(parts) if i not in gone.get(k, ()))
+    return out
+
+
+def test_substring_passages_cut_anywhere(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}é" for i in range(5000)]
+
+    def own(n):
+        return [rnd.choice(words) for _ in range(n)]
+    shared, texts = own(160), []
+    for n in (49, 50, 51, 65, 160):  # without marks, at any place
+        for _ in range(4):
+            a = rnd.randrange(160 - n + 1)
+            texts.append(own(rnd.randrange(90)) + shared[a:a + n] + own(rnd.randrange(90)))
+    # Cut in the middle of sentences, one whole sentence between the cuts.
+    marked = own(29) + ["end."] + own(14) + ["stop."] + own(30)
+    texts += [own(7) + marked[5:60] + own(9), own(3) + marked[2:70] + own(4)]
+    texts += [["x"] * 300, ["a", "b", "c"] * 70, own(20) + ["a", "b", "c"] * 18, own(55) * 3, own(49) * 2]  # repeats of itself
+    base = own(200)
+    texts += [base, base, base[:120] + ["changed"] + base[121:], own(40_000) + base[10:70]]
+    joined = [rnd.choice([" ", "  ", "\t"]).join(t) for t in texts]
+    rows = [(i, t, "en", "p", 0) for i, t in enumerate(joined)]
+    rows += [(None, joined[0] + " more", "en", "p", 0), (3, joined[8], "en", "p", 0), rows[2], (900, " " + joined[4] + " ", "en", "p", 0)]
+    df = frame(spark, rows)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    want = brute_passages([(d, hashes[t], t) for d, t, *_ in rows])
+    got = substring_dedup.remove_passages(df).collect()
+    before = sorted(((d, t) for d, t, *_ in rows), key=str)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((d, want[d, t]) for d, t in before), key=str)
+    assert sum(r.chars_removed for r in got) == sum(len(t) - len(want[d, t]) for d, t in before) > 0
+    # By whole sentences none of the passages cut in their middle is found.
+    assert all(r.n_removed == 0 for r in substring_dedup.remove_repeats(df).collect())
+    assert substring_dedup.remove_passages(frame(spark, [])).count() == 0
+
+
 # ------------------------------------------------------------------ near copies
 def family(rnd, words, size, edits):
     base = [rnd.choice(words) for _ in range(size)]
