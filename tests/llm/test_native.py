@@ -56,6 +56,28 @@ def test_fingerprints_estimate_jaccard(spark):
     assert sig[0] == sig[5]
 
 
+def test_fingerprint_query_estimates_with_its_own_draws(spark, tmp_path):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    texts, last = [], None
+    for i in range(300):
+        last = [rnd.choice(words) if last is None or rnd.random() < 0.002 * (i % 50) else last[k] for k in range(120)]
+        texts.append(" ".join(last))
+    rows = [(i, t, "en", "x", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprints.op5_fingerprints(spark, save(spark, tmp_path, rows)).collect()}
+    errors, variance = [], []
+    for i, t in enumerate(texts):
+        after, half = texts[(i + 1) % len(texts)], len(t) // 2
+        for other, seen in ((t[:len(t) - half] + after[:half], got[i].near_edited), (after, got[i].near_next)):
+            x, y = bag(t), bag(other)
+            true = sum((x & y).values()) / sum((x | y).values())
+            assert abs(seen - true) < 5 * math.sqrt(0.25 / 64)
+            errors.append((seen - true) ** 2)
+            variance.append(true * (1 - true) / 64)
+    # Root mean square error of 64 draws; that of 16 is twice as large.
+    assert math.sqrt(sum(errors)) < 1.3 * math.sqrt(sum(variance))
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_fingerprint_query(spark, tmp_path, partitions):
     rows = ODD + [(1000 + 7 * i, f"text number {i} " * (i % 5), "en", "x", 0) for i in range(60)]
