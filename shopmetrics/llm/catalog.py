@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, exact_dedup, fingerprints, hard_negatives, near_dedup, packing, secret_scans, sharding, substring_dedup,
-               token_counts, toxicity)
+from . import (byte_bpe, exact_dedup, fingerprints, hard_negatives, lexical_search, near_dedup, ngram_join, packing, secret_scans,
+               sharding, substring_dedup, token_counts, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_secret_scans": secret_scans.op10_secret_scans,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_ngram_join": ngram_join.op12_ngram_join,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
@@ -30,4 +32,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL,
             "op6_token_counts": token_counts.ORACLE_SQL, "op9_near_dedup": near_dedup.ORACLE_SQL,
-            "op10_secret_scans": secret_scans.oracle_sql(), "op13_hard_negatives": hard_negatives.ORACLE_SQL}
+            "op10_secret_scans": secret_scans.oracle_sql(), "op11_lexical_search": lexical_search.ORACLE_SQL,
+            "op12_ngram_join": ngram_join.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
