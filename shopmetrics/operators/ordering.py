@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import written
 
 
 def dense_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -20,11 +18,9 @@ def dense_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
     The window over those counts has a row for each partition, not for each row of
     ``df``. Rows that are equal in all of ``order`` are numbered in any order."""
     spark = df.sparkSession
-    path = shared_dir(spark, f"ordered-{uuid.uuid4().hex}")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-     .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).write.parquet(path))
-    rows = spark.read.parquet(path)
+    rows = written(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+                   .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ordered")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))  # a row for each partition
     shift = counts.select("_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))

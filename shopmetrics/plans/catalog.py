@@ -7,6 +7,8 @@ boundary; the operators themselves return full precision.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,22 +21,17 @@ from ..operators import metrics as M
 from ..operators import quality as D
 from ..operators import reports as N
 from ..operators import retrieval as RT
+from ..functions.digest import column_digests, round6
 from ..operators.base import filtered_session_users
 from ..operators.silver import CLEANERS
-from ..sources.fixtures import raw_entities, read_table
-from .layers import clean_tables, gold_layer
+from ..session import shared_dir
+from ..sources.csv_io import DIALECT, RAW_SCHEMAS, export_marts, ingest_csv, read_csv_like, read_raw, write_csv
+from ..sources.fixtures import raw_entities, read_table, source_state, write_documents
+from .layers import clean_tables, gold_layer, rebuild_layers, shop_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def round6(c):
-    """Comparison rounding: 6 places after a 1e-9 nudge away from zero, so a
-    value sitting on a rounding tie (e.g. 1369.27 / 32 = 42.7896875) rounds the
-    same way whatever ulp-level noise the summation order left on it."""
-    c = c.cast("double")
-    return F.round(c + F.signum(c) * F.lit(1e-9), 6)
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[round6(F.col(f.name)).alias(f.name) if isinstance(f.dataType, DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
@@ -80,51 +77,68 @@ def _report_bundle(spark: SparkSession, sf_dir: str, filters: dict | None = None
     return N.report_bundle(insight, questions, contexts, quality, drops, segments)
 
 
-def _bronze_dir(spark: SparkSession, tag: str) -> str:
-    import uuid
-    from ..session import shared_dir
+def _own_dir(spark: SparkSession, tag: str) -> str:
     return shared_dir(spark, f"{tag}-{uuid.uuid4().hex[:12]}")
 
 
+def _all_digests(frames) -> DataFrame:
+    """A row for each column of each (name, DataFrame): rows, values, digest."""
+    return functools.reduce(DataFrame.unionByName, [column_digests(df, name) for name, df in frames])
+
+
+def _as_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Stand-in input of B1: the six raw entities as headered CSV folders, events
+    also with rows of two fields and rows with a time that is none."""
+    root = _own_dir(spark, "bronze")
+    raw = raw_entities(spark, sf_dir)
+    for entity in RAW_SCHEMAS:
+        write_csv(raw[entity], f"{root}/{entity}.csv")
+    events = raw["raw_events"]
+    short = events.where("event_id % 101 = 0").select("event_id", "session_id")
+    odd = events.where("event_id % 103 = 0").withColumn("event_timestamp", F.lit("yesterday"))
+    for extra in (short, odd):
+        extra.write.mode("append").options(**DIALECT).csv(f"{root}/raw_events.csv")
+    return root
+
+
 def _bronze_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: raw events written as headered CSV to the shared folder, ingested
-    back with the explicit raw schema, then cleaned (S4)."""
-    from ..operators.silver import clean_events
-    from ..sources.csv_io import ingest_csv, write_csv
-    root = _bronze_dir(spark, "bronze")
-    write_csv(raw_entities(spark, sf_dir)["raw_events"], f"{root}/raw_events.csv")
-    return rounded(clean_events(ingest_csv(spark, root, "raw_events")))
+    """B1: all six entities read from CSV with their raw schemas; rows, values and
+    a digest for each of their columns."""
+    root = _as_csv(spark, sf_dir)
+    return _all_digests((entity, ingest_csv(spark, root, entity)) for entity in RAW_SCHEMAS)
 
 
 def _bronze_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1 for all six entities: rows per entity after a CSV round trip."""
-    from ..sources.csv_io import RAW_SCHEMAS, ingest_csv, write_csv
-    root = _bronze_dir(spark, "bronze")
-    raw = raw_entities(spark, sf_dir)
-    out = None
-    for e in RAW_SCHEMAS:
-        write_csv(raw[e], f"{root}/{e}.csv")
-        c = ingest_csv(spark, root, e).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(e).alias("entity"), "rows")
-        out = c if out is None else out.unionByName(c)
-    return out
+    """B1: rows that were read and rows that were rejected, by entity and reason."""
+    root = _as_csv(spark, sf_dir)
+    parts = []
+    for entity in RAW_SCHEMAS:
+        good, rejects = read_raw(spark, root, entity)
+        parts.append(good.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(entity).alias("entity"), F.lit("read").alias("outcome"), "rows"))
+        parts.append(rejects.groupBy("entity", F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("rows")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: the four exported marts written as single CSV files; the daily KPI
-    mart read back with its schema."""
-    from ..sources.csv_io import export_marts, read_csv_like
-    T_ = clean_tables(spark, sf_dir)
-    gold = G.gold_tables(T_)
-    paths = export_marts(gold, _bronze_dir(spark, "gold-export"))
-    return rounded(read_csv_like(spark, paths["gold_daily_kpis"], gold["gold_daily_kpis"]))
+    """K2: the four exported marts as CSV files, read back with their schemas; rows,
+    values and a digest for each of their columns."""
+    gold = G.gold_tables(clean_tables(spark, sf_dir))
+    paths = export_marts(gold, _own_dir(spark, "gold-export"))
+    return _all_digests((mart, read_csv_like(spark, path, gold[mart])) for mart, path in paths.items())
 
 
 def _layer_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: bronze -> silver -> gold, each layer written (overwrite) to the
-    shared folder and read back by the next; the segment mart as read back."""
-    from .layers import read_layer, run_layers
-    paths = run_layers(spark, sf_dir, _bronze_dir(spark, "layers"))
-    return rounded(read_layer(spark, paths["gold"])["gold_segment_performance"])
+    """K1: bronze -> silver -> gold, all tables replaced and then read by their
+    names; rows, values and a digest for each of their columns."""
+    tables = shop_tables(spark, sf_dir, "rebuilt")
+    return _all_digests((name, tables[name]) for name in sorted(rebuild_layers(spark, sf_dir, tables)))
+
+
+def _load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ``documents`` table as ``.md`` files, loaded in name order."""
+    folder = _own_dir(spark, "documents")
+    write_documents(read_table(spark, sf_dir, "documents"), folder)
+    return RT.load_documents(spark, folder)
 
 
 def _tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +178,15 @@ MULTI_FILTER = {"device_type": "mobile", "region": "All", "customer_type": "retu
 SLICE_FILTER = {"region": "EUROPE", "loyalty_flag": True, "device_type": None}
 
 
+def _fresh(fn: Query) -> Query:
+    """The query, after a look whether the source files have changed."""
+    @functools.wraps(fn)
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source_state(spark, sf_dir)
+        return fn(spark, sf_dir)
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["clean_users"] = _silver("clean_users")
@@ -217,9 +240,10 @@ def queries() -> dict[str, Query]:
     q["bronze_row_counts"] = _bronze_counts
     q["export_roundtrip"] = _export_roundtrip
     q["layer_materialise"] = _layer_materialise
-    # T2-T5
+    # T1-T5
+    q["load_documents"] = _load_documents
     q["query_terms"] = _docs_questions(lambda d, qs: RT.query_terms(qs))
     q["keyword_scores"] = _docs_questions(RT.keyword_scores)
     q["topk_documents"] = _docs_questions(RT.top_documents)
     q["context_snippets"] = _docs_questions(lambda d, qs: RT.format_context(d, RT.top_documents(d, qs)))
-    return q
+    return {k: _fresh(fn) for k, fn in q.items()}

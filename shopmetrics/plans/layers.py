@@ -1,106 +1,74 @@
 """Layer plans: raw -> Silver -> Gold as lazy DataFrames, and their
-materialisation (K1) as overwritten tables / Parquet folders."""
+materialisation (K1) as named tables."""
 
 from __future__ import annotations
 
+import hashlib
 import threading
-from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.gold import gold_tables
 from ..operators.silver import silver_tables
-from ..sources.fixtures import raw_entities
+from ..session import app_key, shared_dir
+from ..sources.fixtures import LazyFrames, raw_entities, source_state
+from .tables import Tables
 
-
-_CLEAN: dict[tuple, dict] = {}
+_LAYERS: dict[tuple, tuple[str, dict[str, LazyFrames]]] = {}
 _BUILD_LOCK = threading.RLock()
 
 
-def clean_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -> dict[str, DataFrame]:
-    """Silver tables derived from the driver's parquet tables.
+def shop_tables(spark: SparkSession, sf_dir: str, name: str = "shop") -> Tables:
+    """The stored tables of one source folder, in a database of their own."""
+    tag = hashlib.sha1(f"{app_key(spark)} {sf_dir.rstrip('/')}".encode()).hexdigest()[:10]
+    return Tables(spark, shared_dir(spark, f"{name}-{tag}"), f"{name}_{tag}")
 
-    ``materialized`` (default): like the shop's own Silver layer, each clean
-    table is written once per application as Parquet under the shared
-    checkpoint folder (``spark.checkpoint.dir``) the first time a query needs
-    it, and read back from there -- the lineage to the raw tables is cut and
-    every later query starts from compact clean files. Otherwise the tables
-    are lazy plans over the raw tables."""
-    from ..session import app_key
-    key = (app_key(spark), sf_dir.rstrip("/"), materialized)
+
+def _layers(spark: SparkSession, sf_dir: str) -> dict[str, LazyFrames]:
+    """Silver and Gold as stored tables, each written when it is first asked for
+    and again when the source files have changed."""
+    key, state = (app_key(spark), sf_dir.rstrip("/")), source_state(spark, sf_dir)
     with _BUILD_LOCK:
-        return _clean_tables_locked(spark, sf_dir, materialized, key)
+        known = _LAYERS.get(key)
+        if known and known[0] == state:
+            return known[1]
+        tables = shop_tables(spark, sf_dir)
+        silver = silver_tables(raw_entities(spark, sf_dir))
+
+        def stored(lazy, name: str) -> DataFrame:
+            with _BUILD_LOCK:  # one writer per table even if queries run in threads
+                tables.commit({name: tables.write(name, lazy[name])})
+                return tables[name]
+        clean = LazyFrames({n: (lambda n=n: stored(silver, n)) for n in silver.keys()})
+        gold = LazyFrames({n: (lambda n=n: stored(gold_tables(clean), n)) for n in GOLD})
+        _LAYERS[key] = state, {"silver": clean, "gold": gold}
+        return _LAYERS[key][1]
 
 
-def _clean_tables_locked(spark, sf_dir, materialized, key):
-    from ..session import app_key
-    if key not in _CLEAN:
-        lazy = silver_tables(raw_entities(spark, sf_dir))
-        if not materialized:
-            _CLEAN[key] = lazy
-        else:
-            import hashlib
-            from ..sources.fixtures import LazyFrames
-            from ..session import shared_dir
-            tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:10]
-            root = shared_dir(spark, f"silver-{app_key(spark)}-{tag}")
+GOLD = ("gold_daily_kpis", "gold_funnel_metrics", "gold_experiment_results", "gold_segment_performance", "gold_product_performance")
 
-            def build(name: str) -> DataFrame:
-                path = f"{root}/{name}"
-                with _BUILD_LOCK:  # one writer per table even if queries run in threads
-                    lazy[name].write.mode("overwrite").parquet(path)
-                    return spark.read.parquet(path)
-            _CLEAN[key] = LazyFrames({n: (lambda n=n: build(n)) for n in lazy.keys()})
-    return _CLEAN[key]
 
+def clean_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -> dict[str, DataFrame]:
+    """Silver tables derived from the driver's parquet tables.
 
-_GOLD: dict[tuple, dict] = {}
+    ``materialized`` (default): like the shop's own Silver layer, each clean
+    table is stored under the shared checkpoint folder (``spark.checkpoint.dir``)
+    the first time a query needs it, and read back from there -- the lineage to the
+    raw tables is cut and every later query starts from compact clean files, until
+    the source files change. Otherwise the tables are lazy plans over the raw tables."""
+    if not materialized:
+        return silver_tables(raw_entities(spark, sf_dir))
+    return _layers(spark, sf_dir)["silver"]
 
 
 def gold_layer(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Gold marts over the (materialised) Silver layer, each written once per
-    session to the shared folder on first use and read back -- the marts the
-    metric queries read, as the shop's own metric queries read its Gold
-    tables."""
-    import hashlib
-    from ..session import app_key, shared_dir
-    from ..sources.fixtures import LazyFrames
-    key = (app_key(spark), sf_dir.rstrip("/"))
-    with _BUILD_LOCK:
-        if key not in _GOLD:
-            lazy = gold_tables(clean_tables(spark, sf_dir))
-            tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:10]
-            root = shared_dir(spark, f"gold-{app_key(spark)}-{tag}")
-
-            def build(name: str) -> DataFrame:
-                path = f"{root}/{name}"
-                with _BUILD_LOCK:
-                    lazy[name].write.mode("overwrite").parquet(path)
-                    return spark.read.parquet(path)
-            _GOLD[key] = LazyFrames({n: (lambda n=n: build(n)) for n in lazy.keys()})
-        return _GOLD[key]
-
-
-def materialise(dfs: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:
-    """K1: replace every table of a layer (``CREATE OR REPLACE TABLE ... AS``)
-    by overwriting ``root/<name>``; returns name -> path. Writes are whole-table
-    overwrites, so a re-run after a lost executor simply redoes the table."""
-    paths = {}
-    for name, df in dfs.items():
-        path = f"{root.rstrip('/')}/{name}"
-        df.write.mode("overwrite").format(fmt).save(path)
-        paths[name] = path
-    return paths
-
-
-def read_layer(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet") -> dict[str, DataFrame]:
-    return {name: spark.read.format(fmt).load(p) for name, p in paths.items()}
-
-
-def run_layers(spark: SparkSession, sf_dir: str, root: str) -> dict[str, dict[str, str]]:
-    """Bronze (fixture adapter) -> Silver -> Gold, each layer written and then
-    read back, so every layer cuts lineage at a durable table."""
-    bronze = materialise(raw_entities(spark, sf_dir), f"{root}/bronze")
-    silver = materialise(silver_tables(read_layer(spark, bronze)), f"{root}/silver")
-    gold = materialise(gold_tables(read_layer(spark, silver)), f"{root}/gold")
-    return {"bronze": bronze, "silver": silver, "gold": gold}
+    """Gold marts over the stored Silver layer, each written on first use and read
+    back -- the marts the metric queries read, as the shop's own metric queries
+    read its Gold tables."""
+    return _layers(spark, sf_dir)["gold"]
+
+
+def rebuild_layers(spark: SparkSession, sf_dir: str, tables: Tables) -> list[str]:
+    """K1: Bronze (fixture adapter) -> Silver -> Gold, all 17 tables replaced
+    together; each layer is read back from the tables of the one before."""
+    return tables.rebuild([("bronze", lambda _: raw_entities(spark, sf_dir)), ("silver", silver_tables), ("gold", gold_tables)])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins/partition counts from
 # runtime statistics (broadcast only when the measured side is small,
@@ -88,3 +89,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in a folder of its own below the shared one: for an
+    intermediate that several branches of a plan read, each with other columns and
+    filters. A lost executor costs a re-read."""
+    path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,6 +20,8 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import state
+
 # Fixed values of the adapter contract (must equal the oracle SQL).
 EVENT_NAME_MAP = {
     "view": "homepage_view",
@@ -33,9 +35,11 @@ REPEAT_ASSIGNED_AT = _dt.datetime(2024, 1, 5, 0, 0, 0)
 LOYAL_SEGMENTS = ("BUILDING", "HOUSEHOLD")
 
 RAW_TABLES = ("region", "nation", "customer", "orders", "part", "events")
+SOURCE_TABLES = (*RAW_TABLES, "documents", "conversations")
 
 
 _MEMO: dict[tuple, DataFrame] = {}
+_STATES: dict[tuple, str] = {}
 
 
 def _session_key(spark: SparkSession) -> str:
@@ -43,10 +47,23 @@ def _session_key(spark: SparkSession) -> str:
     return app_key(spark)
 
 
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the source files. Where it has changed since it was last asked
+    for, the DataFrames that were built over the old files are forgotten."""
+    at = (_session_key(spark), sf_dir.rstrip("/"))
+    now = state(spark, [f"{at[1]}/{t}.parquet" for t in SOURCE_TABLES])
+    if _STATES.get(at) != now:
+        for key in [k for k in _MEMO if k[1:3] == at]:
+            del _MEMO[key]
+        _STATES[at] = now
+    return now
+
+
 def memo_per_source(fn):
     """Build each derived DataFrame once per (application, sf_dir): the plan
     objects are immutable, so every query of a run shares them (and the file
-    listing / footer reads of their scans)."""
+    listing / footer reads of their scans). :func:`source_state` notices changed
+    files; each query asks it once."""
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf_dir: str, *args):
         key = (fn.__name__, _session_key(spark), sf_dir.rstrip("/"), args)
@@ -269,3 +286,20 @@ class LazyFrames(dict):
 def raw_entities(spark: SparkSession, sf_dir: str) -> LazyFrames:
     """All six raw entities as lazy DataFrames keyed like the raw CSV files."""
     return LazyFrames({k: functools.partial(fn, spark, sf_dir) for k, fn in RAW_BUILDERS.items()})
+
+
+def write_documents(docs: DataFrame, folder: str) -> None:
+    """The ``documents`` table as one ``.md`` file for each row, named by doc_id."""
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def write(batches):
+        from pyarrow import fs
+        store, at = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                with store.open_output_stream(f"{at}/doc-{doc_id:012d}.md") as out:
+                    out.write((text or "").encode())
+        return iter(())
+    docs.select("doc_id", "text").mapInPandas(write, "done int").write.format("noop").mode("overwrite").save()
