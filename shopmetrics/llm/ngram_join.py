@@ -45,10 +45,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tiles
-from .common import buckets, durable, forget, ship, small_enough, table
+from .common import buckets, durable, forget, ship, table
 from .components import components
-from .near_dedup import shingle_set
+from .shingle_sets import digest_of, exact_links, labelled, shingle_set
 
 WIDTH, PERCENT = 4, 85
 BLOCK_VALUES = 500_000   # n-grams of a row block; a longer document is a block of its own
@@ -58,11 +57,6 @@ SEVERAL = 0xFFFF         # instead of a row: more than one row of the block has
 _BLOCKS = ("block long, part int, values binary, rows binary, doc_id array<long>, n array<int>, digest array<binary>, support array<int>")
 
 
-def _digest(s: np.ndarray) -> bytes:
-    import xxhash
-    return xxhash.xxh3_128_digest(s.tobytes())
-
-
 def _row_block(block: int, ids: list, sets: list[np.ndarray], parts: int):
     """The entries of a row block by column block, and a row on its documents."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -79,7 +73,7 @@ def _row_block(block: int, ids: list, sets: list[np.ndarray], parts: int):
     low = values.view(np.uint8).reshape(-1, 8)[:, :6]  # the rest of the value is in the column block's number, but for a few bits
     here = np.flatnonzero(ends[1:] > ends[:-1])
     kinds = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32())
-    own = [ids, sizes.tolist(), [_digest(s) for s in sets], support.tolist()]
+    own = [ids, sizes.tolist(), [digest_of(s) for s in sets], support.tolist()]
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(len(here) + 1, block, np.int64)), pa.array(np.r_[here, -1 - block % parts].astype(np.int32)),
         pa.array([low[ends[p]:ends[p + 1]].tobytes() for p in here] + [None], pa.binary()),
@@ -149,22 +143,6 @@ def supported(docs: DataFrame, width: int) -> DataFrame:
     return found.groupBy("block").applyInArrow(summed, "doc_id long, n int, digest binary, support int")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(member, n, copies, set) of the wanted (node, digest, copies)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_enough(wanted, 64), "node")
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
-                good = pa.array([_digest(s) == d for s, d in zip(sets, b.column("digest").to_pylist())], pa.bool_())
-                yield pa.RecordBatch.from_arrays([
-                    b.column("digest"), pa.array([len(s) for s in sets], pa.int64()), b.column("copies"),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["member", "n", "copies", "set"]).filter(good)
-    return rows.select("text", "digest", "copies").mapInArrow(run, "member binary, n long, copies long, set array<long>")
-
-
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
     """(member, group): sets that share a value among the rarest of either."""
     entries = sets.select("member", "n", F.explode("set").alias("value"))
@@ -182,51 +160,14 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
     return groups.select(F.col("node").alias("member"), F.col("label").alias("group"))
 
 
-def _product(tile: pa.Table, percent: int) -> pa.Table:
-    """(member, other, links) of the rows of a tile that have links in it."""
-    seen, order = set(), []
-    for i, m in enumerate(tile.column("member").to_pylist()):
-        if m not in seen:  # one row of a set, should its document be there twice
-            seen.add(m)
-            order.append(i)
-    tile = tile.take(order)
-    side = tile.column("side").to_numpy()
-    sets = tile.column("set").combine_chunks()
-    values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
-    sets = [values[ends[i]:ends[i + 1]] for i in range(len(side))]
-    links = np.zeros((len(side), len(side)), bool)
-    if side.any():
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side)
-        if len(a):
-            links[np.ix_(a, b)] = tiles.linked([sets[i] for i in a], [sets[i] for i in b], percent)
-            links |= links.T
-    else:
-        links = tiles.linked(sets, None, percent)
-    some = np.flatnonzero(links.any(1))
-    to = tiles.roots(links)
-    degree = links @ tile.column("copies").to_numpy()
-    return pa.table([tile.column("member").take(some), tile.column("member").take(to[some]), pa.array(degree[some].astype(np.int64))],
-                    names=["member", "other", "links"])
-
-
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of ``docs``."""
     rows = durable(supported(docs, width), "supported")
     near = rows.where((F.col("support") * 100 >= F.col("n") * percent) & (F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = durable(near.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
-    sets = durable(_whole_sets(docs, classes, width), "sets")
-    members = durable(sets.join(_groups(sets, percent), "member"), "members")
-    out = "member binary, other binary, links long"
-    links = durable(tiles.tiled(members, "group", percent).groupBy("tile").applyInArrow(lambda t: _product(t, percent), out), "links")
-    labels = components(links.where("member <> other").select(F.col("member").alias("a"), F.col("other").alias("b")))
-    degree = links.groupBy("member").agg(F.sum("links").alias("links"))
-    of_class = (classes.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-                .join(degree.withColumnRenamed("member", "digest"), "digest", "left")
-                .select("digest", "node", F.coalesce("label", "digest").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    of_class = durable(of_class, "classes")
-    least = of_class.groupBy("label").agg(F.min("node").alias("component_id"))
-    named = of_class.join(least, "label").select("digest", "component_id", "n_links")
-    forget(classes, sets, members, links)
+    links = exact_links(docs, classes, width, percent, lambda sets: _groups(sets, percent))
+    named = labelled(classes, links)
+    forget(classes, links)
     key = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest"))
     return (rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), key.alias("digest")).join(named, "digest", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),

@@ -198,6 +198,41 @@ def test_near_chain_reaches_the_least(spark):
     assert got == {c for _, c in brute_components({d: t for d, t, *_ in rows}).values()}
 
 
+def test_near_stage_keeps_other_texts_under_one_id(spark):
+    text = " ".join(f"s{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 0), (5, text + " x", "en", "a", 0), (5, other, "en", "a", 0),
+            (2, "near " + other, "en", "a", 0), (7, text + " y", "en", "a", 0), (7, text + " z", "en", "a", 0), (None, text, "en", "a", 0), (8, None, "en", "a", 0)]
+    docs = frame(spark, rows)
+    for name in ("doc_id_", "text_hash", "label", "component_id", "digest", "_gone", "first"):
+        docs = docs.withColumn(name, docs["lang"])
+    got = near_dedup.drop_near_copies(spark, docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([(1, text), (2, "near " + other), (0, text), (8, "")])
+    assert all(r.text_hash == "en" and r.kept == "x" for r in got.collect())
+
+
+def test_near_rows_of_long_lists(spark, monkeypatch):
+    """Lists and groups over many tiles."""
+    monkeypatch.setattr(near_dedup.tiles, "ROWS", 8)
+    rows = near_rows(6)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(frame(spark, rows)).collect()}
+    assert got == {d: c for d, (_, c) in brute_components({d: t for d, t, *_ in rows}).items()}
+
+
+def test_union_sketch_estimates():
+    rnd = np.random.default_rng(5)
+    k, pool = 8, np.arange(30)
+    sets = [np.sort(rnd.choice(pool, rnd.integers(1, 20), replace=False))[:k] for _ in range(40)]
+    sketches = np.full((40, k), np.iinfo(np.int64).max)
+    for i, s in enumerate(sets):
+        sketches[i, :len(s)] = s
+    a, b = map(np.array, zip(*itertools.combinations(range(40), 2)))
+    want = [100 * len(set(sets[i]) & set(sets[j]) & set(u)) >= 40 * len(u)
+            for i, j in zip(a, b) for u in [np.union1d(sets[i], sets[j])[:k]]]
+    assert near_dedup.estimates(sketches, np.array([len(s) for s in sets]), a, b, k, 40).tolist() == want
+
+
 # --------------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, tmp_path):
     rows, labels = corpus(200)
