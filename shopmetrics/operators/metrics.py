@@ -8,13 +8,14 @@ query inner-joins sessions to users, so sessions without a user drop.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gold as G
-from .base import (ALL, active_filters, eligible_sessions, filtered_session_users, literal_table, safe_div,
+from .base import (ALL, SESSION_DIMS, USER_DIMS, active_filters, apply_filters, eligible_sessions, literal_table, safe_div,
                    session_order_stats, sort_small)
 
 # Fixed value: the loyalty options are listed, not queried.
@@ -59,24 +60,33 @@ def _overall_uplift(T: Mapping[str, DataFrame], experiment: DataFrame | None = N
         - F.max(F.when(F.col("variant") == "control", F.col("conversion_rate"))), F.lit(0.0)).alias("experiment_uplift"))
 
 
+def _session_measures(T: Mapping[str, DataFrame], filters: Mapping | None, orders: DataFrame | None = None) -> DataFrame:
+    """One row for each session that survives the join with users and the filter:
+    its columns, ``user_rows`` (rows of its user) and those of ``orders`` (one row
+    for each session; by default the order sums)."""
+    users = apply_filters(T["clean_users"], filters, USER_DIMS).groupBy("user_id").agg(F.count(F.lit(1)).alias("user_rows"))
+    sessions = apply_filters(T["clean_sessions"].select("session_id", "user_id", "session_start", "device_type", "channel"), filters, SESSION_DIMS)
+    # Sessions and orders are both stored by session: they meet first, without an exchange.
+    return sessions.join(orders if orders is not None else session_order_stats(T["clean_orders"]), "session_id", "left").join(users, "user_id")
+
+
 def executive_metrics(T: Mapping[str, DataFrame], filters: Mapping | None = None,
                       experiment: DataFrame | None = None) -> DataFrame:
     """One row: revenue, orders, conversion_rate, average_order_value,
     active_users, experiment_uplift (from the *unfiltered* experiment mart's
     overall rows) and commercial_impact_estimate = uplift x sessions x AOV."""
-    es = eligible_sessions(T, filters)
-    # DISTINCT sessions / users: a semi join keeps one row per session.
-    sess = es.agg(F.count(F.lit(1)).alias("sessions"), F.countDistinct("user_id").alias("active_users"))
-    # Orders keep the join multiplicity of the reference (orders x sessions x users).
-    o = T["clean_orders"].select("session_id", "revenue").join(
-        filtered_session_users(T, filters).select("session_id"), "session_id")
-    orders = o.agg(F.count(F.lit(1)).alias("orders"), F.sum("revenue").alias("revenue_sum"),
-                   F.avg("revenue").alias("aov"))
+    # One base for both sides: a row for each eligible session, with its orders'
+    # sums and the number of its user's rows, by which the join of the reference
+    # (orders x sessions x users) repeats them.
+    base = _session_measures(T, filters)
+    one = base.agg(F.count(F.lit(1)).alias("sessions"), F.countDistinct("user_id").alias("active_users"),
+                   F.coalesce(F.sum(F.col("n_orders") * F.col("user_rows")), F.lit(0)).alias("orders"), F.sum(F.col("rev_sum") * F.col("user_rows")).alias("revenue_sum"))
+    one = one.withColumn("aov", safe_div(F.col("revenue_sum"), F.col("orders")))
     uplift = _overall_uplift(T, experiment)
     up = F.col("experiment_uplift")
     aov = F.coalesce(F.col("aov"), F.lit(0.0))
-    # Three one-row frames: the cross join is 1 x 1 x 1.
-    return sess.crossJoin(orders).crossJoin(uplift).select(
+    # Two one-row frames: the cross join is 1 x 1.
+    return one.crossJoin(uplift).select(
         F.coalesce(F.col("revenue_sum"), F.lit(0.0)).alias("revenue"),
         F.coalesce(F.col("orders"), F.lit(0)).alias("orders"),
         F.when(F.col("sessions") == 0, F.lit(0.0))
@@ -122,10 +132,27 @@ def segment_performance(T: Mapping[str, DataFrame], filters: Mapping | None = No
 def daily_kpis(T: Mapping[str, DataFrame], filters: Mapping | None = None) -> DataFrame:
     """G1 with both sides filtered and joined to users: orders must join a
     session and its user."""
-    sessions = eligible_sessions(T, filters)
-    orders = T["clean_orders"].select("session_id", "order_timestamp", "revenue").join(
-        filtered_session_users(T, filters).select("session_id"), "session_id")
-    return G.daily_kpis_from(sessions, orders, sessions_unique=True)
+    # Orders by session and day, as a list at each session (as long as its days),
+    # so that one pass over the sessions gives both sides of the report.
+    by_day = (T["clean_orders"].groupBy("session_id", F.to_date("order_timestamp").alias("day"))
+              .agg(F.count(F.lit(1)).alias("orders"), F.sum("revenue").alias("revenue"))
+              .groupBy("session_id").agg(F.collect_list(F.struct("day", "orders", "revenue")).alias("days")))
+    base = _session_measures(T, filters, by_day)
+    start = F.to_date("session_start")
+
+    def fact(day, user, sessions, orders, revenue):
+        return F.struct(day.alias("event_date"), user.alias("user"), sessions.alias("sessions"), orders.alias("orders"), revenue.alias("revenue"))
+    none = F.lit(0).cast("bigint")
+    own = F.array(fact(start, F.col("user_id"), F.lit(1).cast("bigint"), none, F.lit(0.0)))
+    ordered = F.transform(F.col("days"), lambda d: fact(d["day"], F.lit(None).cast("bigint"), none, d["orders"] * F.col("user_rows"), d["revenue"] * F.col("user_rows")))
+    facts = base.select(F.inline(F.concat(own, F.coalesce(ordered, F.slice(own, 1, 0)))))
+    days = facts.groupBy("event_date").agg(F.sum("sessions").alias("sessions"), F.countDistinct("user").alias("active_users"),
+                                           F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue"))
+    # Days with orders only are not in the report.
+    return sort_small(days.where("sessions > 0").select(
+        "event_date", "sessions", "active_users", "orders", "revenue",
+        F.coalesce(safe_div(F.col("revenue"), F.col("orders")), F.lit(0.0)).alias("average_order_value"),
+        safe_div(F.col("orders"), F.col("sessions")).alias("conversion_rate")), "event_date")
 
 
 # ------------------------------------------------------------------------ M8
@@ -168,9 +195,8 @@ def kpi_cube(T: Mapping[str, DataFrame], dims: Sequence[str] = SIDEBAR_ORDER,
     ``dims`` where a rolled-up dim reads "All", plus the active-filter text (N7).
 
     Pre-aggregation keeps the cube small: orders collapse to one row per
-    session, and sessions to one row per (dims, user) before the 2^d expansion,
-    so the cube expands (dims x user) rows, not sessions or orders. Distinct
-    users still dedupe per slice; distinct sessions are summed per (dims, user),
+    session, sessions to one row per (dims, user), and those to one row per
+    (dims, 32,768 users) before the 2^d expansion. Distinct sessions are summed per (dims, user),
     which is exact while each session carries one set of dim values (sessions
     are unique after Silver; user rows of one id agree on their dims)."""
     # Orders meet sessions (both keyed by session_id), then sessions are summed
@@ -186,12 +212,18 @@ def kpi_cube(T: Mapping[str, DataFrame], dims: Sequence[str] = SIDEBAR_ORDER,
                    F.sum(F.coalesce(F.col("rev_sum"), F.lit(0.0))).alias("r")))
     per_user = per_own.join(T["clean_users"].select("user_id", *user_dims), "user_id").groupBy(*dims, "user_id").agg(
         F.max("s").alias("sessions"), F.sum("o").alias("orders"), F.sum("r").alias("revenue"))
-    cube = per_user.cube(*dims).agg(
-        F.sum("sessions").alias("sessions"),
-        F.countDistinct("user_id").alias("active_users"),
-        F.sum("orders").alias("orders"),
-        F.sum("revenue").alias("revenue"),
-        *[F.grouping(d).alias(f"_g_{d}") for d in dims])
+    # Distinct users by bitmaps: 32,768 ids to a bucket. The grouping sets merge the
+    # bitmaps and sums of (dims, bucket), and no row of a user is expanded. Ids need
+    # not be dense for that, but dense ones fill the bitmaps.
+    finest = (per_user.withColumn("_bucket", F.bitmap_bucket_number("user_id")).groupBy(*dims, "_bucket").agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("_users"), F.sum("sessions").alias("sessions"),
+        F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue")))
+    sets = [[F.col(c) for c in (*chosen, "_bucket")] for n in range(len(dims) + 1) for chosen in itertools.combinations(dims, n)]
+    merged = finest.groupingSets(sets, *dims, "_bucket").agg(
+        F.bitmap_count(F.bitmap_or_agg("_users")).alias("active_users"), F.sum("sessions").alias("sessions"),
+        F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue"), *[F.grouping(d).alias(f"_g_{d}") for d in dims])
+    cube = merged.groupBy(*dims, *[f"_g_{d}" for d in dims]).agg(
+        *[F.sum(c).alias(c) for c in ("sessions", "active_users", "orders", "revenue")])
     sel = []
     for d in dims:
         sel.append(F.when(F.col(f"_g_{d}") == 1, F.lit(ALL)).otherwise(F.col(d).cast("string")).alias(d))

@@ -122,15 +122,19 @@ def _strip_ws(col):
     return F.regexp_replace(col, f"^{_WS}+|{_WS}+$", "")
 
 
-def _whole_json(text):
-    """The JSON value that ``text`` is from end to end, else NULL. The parser stops
-    after the first value, so the text is wrapped as the first of two elements;
-    the second, a hash of the text, must be found right behind it."""
-    mark = F.sha2(text, 256)
-    wrapped = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
-    value = F.try_parse_json(wrapped)
-    two = (F.json_array_length(wrapped) == 2) & (F.try_variant_get(value, "$[1]", "string") == mark)
-    return F.when(F.coalesce(two, F.lit(False)), F.try_variant_get(value, "$[0]", "variant"))
+def _two_values(text):
+    """The text as the first of two elements of a JSON array; the second, a hash of
+    the text, must be found right behind it. (The parser stops after the first
+    value, so the text alone would pass with anything behind a value.)"""
+    return F.concat(F.lit("["), text, F.lit(',"'), F.sha2(text, 256), F.lit('"]'))
+
+
+def _kept_json(text):
+    """The JSON value that ``text`` is from end to end, as canonical text, else NULL.
+    A text that cannot be one by its first character is not parsed."""
+    value = F.try_parse_json(F.when(F.rlike(text, F.lit(r'^[\[{"tfn0-9-]')), _two_values(text)))
+    ends_there = F.try_variant_get(value, "$[1]", "string") == F.sha2(text, 256)
+    return F.when(F.coalesce(ends_there, F.lit(False)), F.to_json(F.try_variant_get(value, "$[0]", "variant")))
 
 
 def parse_json_column(df: DataFrame, col: str = "response") -> DataFrame:
@@ -143,11 +147,18 @@ def parse_json_column(df: DataFrame, col: str = "response") -> DataFrame:
     cleaned = _strip_ws(F.regexp_replace(cleaned, r"```$", ""))
     # Of keys that repeat the last value holds, as in Python's json.
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    whole = _whole_json(cleaned)
-    inner_text = F.regexp_extract(cleaned, r"(?s)\{.*\}", 0)
-    inner = F.when(inner_text != "", _whole_json(inner_text))
-    parsed = F.coalesce(whole, inner)
-    return df.withColumn("parsed", F.to_json(parsed)).withColumn("is_json", parsed.isNotNull())
+    names = [f"_json_{i}" for i in range(4)]
+    while set(names) & set(df.columns):
+        names = [f"_{n}" for n in names]
+    text, whole, inner_text, inner = names
+    # In steps of their own, so that each text is cleaned and parsed once; the inner
+    # text is looked for only where the whole one is no JSON.
+    found = df.withColumn(text, cleaned)
+    found = found.withColumn(whole, _kept_json(F.col(text)))
+    found = found.withColumn(inner_text, F.when(F.col(whole).isNull(), F.nullif(F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0), F.lit(""))))
+    found = found.withColumn(inner, F.when(F.col(inner_text) != F.col(text), _kept_json(F.col(inner_text))))
+    parsed = F.coalesce(F.col(whole), F.col(inner))
+    return found.withColumn("parsed", parsed).withColumn("is_json", parsed.isNotNull()).drop(*names)
 
 
 def responses_from_events(events: DataFrame) -> DataFrame:

@@ -33,6 +33,18 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(device_type,mobile)" in plan and "EqualTo(customer_type,returning)" in plan
 
 
+def test_executive_metrics_and_daily_kpis_read_each_table_once(spark):
+    assert _plan(E.queries()["executive_metrics"](spark, SF)).count("FileScan parquet") == 4  # and the experiment mart
+    assert _plan(E.queries()["daily_kpis_filtered"](spark, SF)).count("FileScan parquet") == 3
+
+
+def test_cube_expands_bitmaps_not_users(spark):
+    plan = _plan(E.queries()["kpi_cube"](spark, SF)).splitlines()
+    expand, = (i for i, line in enumerate(plan) if "Expand [" in line)
+    below = next(line for line in plan[expand + 1:] if "Aggregate" in line)
+    assert "bitmap_construct_agg" in below and "user_id" not in below.split("functions=")[0]
+
+
 def test_keyword_scoring_has_no_cross_product(spark):
     plan = _plan(E.queries()["keyword_scores"](spark, SF))
     # The cross join attaches the empty term, a frame of one row at most; the gram index was written before.
