@@ -53,7 +53,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings of special tokens in a text get the special ids, as the library has
+        # it; a cut could part or join them, so such texts are encoded whole.
+        self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._memo = CutMemo(self._learn, cache)
 
     def _learn(self, parts: list[str]) -> list[bytes]:
@@ -62,7 +64,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return map(b"".join, self._memo.of(texts))
+        odd = [any(s in t for s in self._special) for t in texts]
+        whole = iter(self._learn([t for t, o in zip(texts, odd) if o]))
+        cuts = self._memo.of([t for t, o in zip(texts, odd) if not o])
+        return (next(whole) if o else b"".join(next(cuts)) for o in odd)
 
 
 @lru_cache(maxsize=2)

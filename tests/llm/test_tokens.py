@@ -44,6 +44,15 @@ def test_packing_query(spark, tmp_path):
     assert packing.op1_best_fit_packing(spark, save(spark, tmp_path / "e", [])).count() == 0
 
 
+def test_special_strings_as_the_library_has_them():
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "plain text, here.", "<|endoftext|>", "", "x<|endoftext|>y <|endoftext", "<|endof text|> z\n<|endoftext|>\n"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(path).encode(texts)] == want
+
+
 def test_plan_beats_or_meets_first_fit_decreasing():
     rnd = random.Random(2)
     for trial in range(20):
