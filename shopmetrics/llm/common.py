@@ -86,6 +86,17 @@ def small_enough(df: DataFrame, row_bytes: int = 64, limit_bytes: int = 8 << 20)
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names for a step's own use that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 BATCH_ROWS = 1_000
 _SHIPPED: set[str] = set()
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, one_space, table, text_or_empty
+from .common import durable, one_space, own_names, table, text_or_empty
 
 PREFIX_CHARS = 128
 
@@ -82,14 +82,14 @@ def drop_exact_copies(spark, docs: DataFrame, sf_dir: str | None = None) -> Data
     The dropped (id, hash) keys are anti-joined, then one of the rows that
     repeat id and text is taken; both need the same partitioning, so the texts
     cross one shuffle."""
-    found = exact_groups(docs, carry={"_sha": digest(F.col("_norm"))})
+    found = exact_groups(docs.select("doc_id", "text"), carry={"_sha": digest(F.col("_norm"))})
     gone = (found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-            .select(F.col("doc_id").alias("_gone"), F.col("_sha").alias("_gone_sha")).distinct())
-    named = docs.withColumn("_sha", digest(one_space(text_or_empty("text"))))
-    left = named.join(gone, (F.col("doc_id").eqNullSafe(F.col("_gone"))) & (F.col("_sha") == F.col("_gone_sha")),
-                      "left_anti")
-    one = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0))
-    return left.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").drop("_copy", "_sha")
+            .select(F.col("doc_id").alias("gone"), F.col("_sha").alias("gone_sha")).distinct())
+    sha, copy = own_names(docs, "_sha", "_copy")  # columns of ``docs`` may have any names
+    named = docs.withColumn(sha, digest(one_space(text_or_empty("text"))))
+    left = named.join(gone, named["doc_id"].eqNullSafe(gone["gone"]) & (named[sha] == gone["gone_sha"]), "left_anti")
+    one = Window.partitionBy("doc_id", sha).orderBy(F.lit(0))
+    return left.withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1).drop(copy, sha)
 
 
 ORACLE_SQL = r"""

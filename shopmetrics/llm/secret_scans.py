@@ -56,21 +56,30 @@ def _no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, add) -> Column:
+    """Running totals (or maxima, by ``add``) of an array, in about log2(n) passes:
+    each adds to a place what stands a power of two before it."""
+    passes = F.when(F.size(values) > 1, F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1), lambda i: F.pow(F.lit(2), i).cast("int"))) \
+        .otherwise(F.array().cast("array<int>"))
+    return F.aggregate(passes, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, add(x, F.get(acc, i - d))).otherwise(x)))
+
+
 def _located(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, whole, part>> of the matches: ``part`` is ``group``.
-    A match starts where the texts between matches and the matches before it end."""
-    between = F.split(text, pattern, -1)
-    wholes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    start = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<start:bigint,whole:string,part:string>>").alias("found"))
+    A match ends where the texts between matches and the matches so far end."""
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("wholes"),
+                     F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("parts"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        return F.struct((begin + F.length(x["whole"])).cast("long").alias("at"),
-                        F.array_append(acc["found"], F.struct(begin.cast("long").alias("start"), x["whole"].alias("whole"), x["part"].alias("part"))).alias("found"))
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(wholes)).alias("gap"), wholes.alias("whole"), parts.alias("part"))
-    return F.aggregate(zipped, start, step)["found"]
+    def places(f):
+        lengths = F.transform(f["wholes"], lambda w, i: (F.length(F.get(f["gaps"], i)) + F.length(w)).cast("long"))
+        return _let(lengths, lambda n: F.zip_with(F.arrays_zip(f["wholes"].alias("whole"), f["parts"].alias("part")), _running(n, lambda a, b: a + b),
+                                                  lambda x, end: F.struct((end - F.length(x["whole"])).alias("start"), x["whole"].alias("whole"), x["part"].alias("part"))))
+    return _let(found, places)
 
 
 def _span(x: Column, rank: int, kind: str, begin: Column | int = 0, end: Column | None = None) -> Column:
@@ -164,21 +173,29 @@ def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str | None = None, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark`` and n_chars brought up to
-    date (pipeline stage); all documents stay. Overlapping spans are replaced
+    """``docs`` with every span replaced by ``mark`` and n_chars, if there is one,
+    brought up to date (pipeline stage); all documents stay. Overlapping spans are replaced
     once, over their union. Null texts stay null."""
-    columns = docs.columns
-    rows = scan(docs)
-    seed = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        gap = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
-    cut = F.aggregate("spans", seed, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    clean = rows.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+    # The document goes along as one column, so its own columns may have any names.
+    rows = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text"))
+    text, spans = F.col("text"), F.col("spans")
+    ends = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+    def piece(s, i, reach):  # the text since the spans before, and a mark; nothing for a span that overlaps them
+        since = F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0))
+        return F.when(s["start"] >= since, F.concat(F.substr(text, (since + 1).cast("int"), (s["start"] - since).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+    cut = _let(ends, lambda reach: F.concat(F.array_join(F.transform(spans, lambda s, i: piece(s, i, reach)), ""),
+                                            F.substr(text, (F.get(reach, F.size(reach) - 1) + 1).cast("int"), F.length(text))))
+    clean = rows.select("document", F.size(spans) > 0, F.when(F.size(spans) > 0, cut).otherwise(text)).toDF("document", "hit", "clean")
+
+    def column(name):
+        old = F.col("document").getField(name)
+        if name == "text":
+            return F.col("clean").alias(name)
+        if name == "n_chars":
+            return F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+    return clean.select(*[column(c) for c in docs.columns])
 
 
 def oracle_sql() -> str:

@@ -206,3 +206,34 @@ def test_native_plans_hold_no_python(spark, tmp_path):
         plan = q(spark, path)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
     assert F is not None and LONG
+
+
+def test_stages_leave_columns_of_any_name(spark):
+    rows = [(1, "token = abcdefghijkl0123 x", "en", "a", 26), (2, "two  words", "en", "a", 10), (2, "two words", "en", "a", 9), (3, None, "en", "a", None)]
+    names = ["_sha", "_copy", "_gone", "_gone_sha", "gone", "spans", "base_spans", "_extra", "document", "clean", "hit", "_norm", "_full", "_prefix"]
+    docs = frame(spark, rows)
+    for n in names:
+        if n not in docs.columns:
+            docs = docs.withColumn(n, docs["lang"])
+    for stage in (exact_dedup.drop_exact_copies, secret_scans.redact_secrets):
+        got = stage(spark, docs)
+        assert got.columns == docs.columns and got.schema["n_chars"] == docs.schema["n_chars"]
+        assert all(r[n] == ("x" if n == "spans" else "en") for r in got.collect() for n in names)
+    assert {r.text: r.n_chars for r in got.collect()} == {"[REDACTED] x": 12, "two  words": 10, "two words": 9, None: None}
+    short = secret_scans.redact_secrets(spark, docs.drop("n_chars"))
+    assert "n_chars" not in short.columns and short.count() == 4
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    def text(n):
+        return " ".join(f"{i:016x}" for i in range(n))
+    took = []
+    for n in (100, 16_000, 32_000):
+        df = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        start = time.time()
+        r = secret_scans.scan(df, classes=()).select("spans").first()
+        took.append(time.time() - start)
+        assert [(s.start, s.end) for s in r.spans] == [(17 * i, 17 * i + 16) for i in range(n)]
+    assert took[1] < 8 and took[2] < 4 * took[1] + 2
