@@ -100,8 +100,8 @@ def estimates(sketches: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndar
 
 
 def _forest(rows: pa.Table, k: int, percent: int, least_percent: int) -> pa.Table:
-    """(a, b): a spanning forest of the pairs that share a list of a task (or lie on
-    the two sides of a tile) and pass the estimate."""
+    """(a, b): each member and the least one that it is connected with by pairs that
+    share a list of the task (or lie on the two sides of a tile) and pass the estimate."""
     value, member, n = (rows.column(c).to_numpy() for c in ("value", "member", "n"))
     side = rows.column("side").to_numpy()
     order = np.lexsort((member, value))
@@ -121,7 +121,6 @@ def _forest(rows: pa.Table, k: int, percent: int, least_percent: int) -> pa.Tabl
             up[x] = up[up[x]]
             x = up[x]
         return x
-    out = []
     starts = np.r_[np.flatnonzero(np.r_[True, value[1:] != value[:-1]]), len(value)]
     done = np.empty(0, np.int64)
 
@@ -139,7 +138,6 @@ def _forest(rows: pa.Table, k: int, percent: int, least_percent: int) -> pa.Tabl
                 ri, rj = root(i), root(j)
                 if ri != rj:
                     up[max(ri, rj)] = min(ri, rj)
-                    out.append((i, j))
     lengths = np.diff(starts)
     # Pairs by their distance in the list, over all lists at once: those at one step
     # are as many as there are members, and most are connected after a few steps.
@@ -153,8 +151,10 @@ def _forest(rows: pa.Table, k: int, percent: int, least_percent: int) -> pa.Tabl
             pairs = np.setdiff1d(pairs, done, assume_unique=True)
             done = np.union1d(done, pairs)
         test(*np.divmod(pairs, len(named)))
-    a, b = (np.array(x, np.int64) for x in (zip(*out) if out else ((), ())))
-    return pa.table([pa.array(named[a]), pa.array(named[b])], names=["a", "b"])
+    # To the least member: tasks that see the same group then mostly say the same.
+    least = np.array([root(x) for x in range(len(up))], np.int64)
+    a = np.flatnonzero(least != np.arange(len(up)))
+    return pa.table([pa.array(named[a]), pa.array(named[least[a]])], names=["a", "b"])
 
 
 def estimated_groups(classes: DataFrame, k: int, shared: int, percent: int, estimate_percent: int) -> DataFrame:
