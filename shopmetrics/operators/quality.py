@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import literal_table
 from .metrics import funnel_metrics
 
 ROW_COUNT_TABLES = ("clean_users", "clean_sessions", "clean_events", "clean_orders")
@@ -22,6 +23,11 @@ def row_counts(T: Mapping[str, DataFrame], tables=ROW_COUNT_TABLES) -> DataFrame
     return out
 
 
+def observed(spark, measures: Mapping[str, int]) -> DataFrame:
+    """(check, value) of measures that were taken while tables were written."""
+    return literal_table(spark, list(measures.items()), [("check", "string"), ("value", "bigint")])
+
+
 def duplicate_ids(df: DataFrame, key: str, label: str) -> DataFrame:
     """COUNT(*) - COUNT(DISTINCT key)."""
     return df.agg((F.count(F.lit(1)) - F.countDistinct(key)).alias("value")).select(

@@ -61,6 +61,12 @@ def clean_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
     return _layers(spark, sf_dir)["silver"]
 
 
+def stored_measures(spark: SparkSession, sf_dir: str, table: str) -> dict:
+    """What was observed while the Silver table was written (it is, if it was not yet)."""
+    clean_tables(spark, sf_dir)[table]
+    return shop_tables(spark, sf_dir).measures(table)
+
+
 def gold_layer(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Gold marts over the stored Silver layer, each written on first use and read
     back -- the marts the metric queries read, as the shop's own metric queries

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from shopmetrics.operators import metrics as M
+from shopmetrics.operators import quality as D
 from shopmetrics.operators import retrieval as R
 from shopmetrics.plans.layers import clean_tables, rebuild_layers
 from shopmetrics.plans.tables import DATE, Tables
@@ -43,6 +44,15 @@ def test_tables_by_name(spark, rebuilt):
     assert rebuilt["gold_product_performance"].count() == lazy["clean_products"].count()
 
 
+def test_stored_measures_equal_a_fresh_scan(spark):
+    T = clean_tables(spark, SF)
+    for key, scan in (("dq_row_counts", D.row_counts(T)),
+                      ("dq_missing_timestamps", D.missing_values(T["clean_events"], "event_timestamp", "missing_event_timestamps"))):
+        got = {r.check: r.value for r in E.queries()[key](spark, SF).collect()}
+        assert {r.check: r.value for r in scan.collect()}.items() <= got.items()
+    assert "FileScan" not in plan_of(E.queries()["dq_row_counts"](spark, SF))
+
+
 def test_a_run_killed_half_way_shows_the_old_tables(spark):
     tables = own(spark)
     tables.rebuild([("one", lambda _: {"a": spark.range(3), "b": spark.range(4)})])
