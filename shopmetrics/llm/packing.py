@@ -42,7 +42,7 @@ from .text_cuts import CutMemo
 CAPACITY = 1024
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE = 500_000  # texts between blanks whose ids a worker remembers, twice at most (about 200 bytes each)
+CACHE = 200_000  # texts between blanks whose ids a worker remembers, twice at most (about 200 bytes each, so 80 MB)
 
 
 # ------------------------------------------------------------------ tokens
