@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import ship, table
 from .text_cuts import CutMemo
 
-MAX_STATES = 100_000
+MAX_STATES = 300_000
 MAX_PAIRS = 300_000
 CACHE = 150_000
 _NONE = -1  # no token before
@@ -153,6 +153,13 @@ class MergeTransducer:
         out: list[int] = []
         ends: list[int] = []
         state, moves, last = 0, self._next, self._last
+        if len(data) <= self._window:  # as good as every match: nothing to settle on the way
+            ends = [0] * len(data)
+            for i, byte in enumerate(data):
+                at = state * 256 + byte
+                state = moves[at] if at in moves else self._step(state, byte)
+                ends[i] = last[state]
+            return self._path(ends, len(ends))
         for byte in data:
             to = moves.get(state * 256 + byte)
             state = self._step(state, byte) if to is None else to

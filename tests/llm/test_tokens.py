@@ -251,3 +251,18 @@ def test_placement(spark, tmp_path):
     sharding.write_shards(frame(spark, ODD), "doc_id", sharding.shard_names(4), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(ODD)
     assert sharding.op8_sharding(spark, save(spark, tmp_path / "e", [])).count() == 0
+
+
+def test_matches_around_the_lookahead_and_states_that_are_kept():
+    """Matches that end before, at and behind the held window; the states of many words are made once."""
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    machine = byte_bpe.MergeTransducer(ranks)
+    rnd = random.Random(7)
+    for n in range(machine._window - 3, machine._window + 4):
+        data = bytes(rnd.choice(b"theandofingr") for _ in range(n))
+        assert machine.encode(data) == byte_bpe.merge_ranks(data, ranks)
+    assert machine.encode(b"") == []
+    words = ["".join(rnd.choices("etaoinshrdlucmfgyp", k=10)).encode() for _ in range(40_000)]
+    first = [machine.encode(w) for w in words]
+    machine._step = None  # no transition is left to make
+    assert [machine.encode(w) for w in words] == first
