@@ -12,6 +12,13 @@ sum(min S) / sum(max S). As a is a function of (k, t) alone, the least a itself
 names the sample: a signature is one minimum of doubles per draw, which a hash
 aggregation keeps in fixed-size buffers with map-side combine.
 
+A text and its edited text share most terms: a term that occurs equally often in
+both is drawn once for the two. The least a of n weights is exponential with
+rate n, so all but a small share of the terms lie above a ceiling that the least
+one exceeds in one of exp(SPREAD) draws only. Terms whose a a cheap lower bound
+puts above it take no logarithms; a signature that did not end below its ceiling
+is drawn again from all terms, so that results are exact.
+
 Plan: texts cross one shuffle, into buckets of neighbouring ids (cut at
 approximate quantiles; the number of buckets follows the session's shuffle
 width). The first row of each bucket is also sent to the bucket before it, the
@@ -40,7 +47,11 @@ from .common import buckets, table, text_or_empty
 
 # The standard error of a likeness s is sqrt(s * (1 - s) / SAMPLES), 0.05 at 0.8.
 SAMPLES = 64
+SPREAD = 24.0
 _EMPTY = -1e300  # in place of the least a of no terms
+_ANY = 1e300  # a ceiling above every a
+_NONE = float("inf")  # no term below the ceiling
+_SHARED, _OWN, _EDITED = 2, 0, 1  # the texts that a term's weight is of
 _FIRST = -(1 << 63)  # orders null ids before all others
 
 
@@ -63,24 +74,78 @@ def log_a(term: Column, log_weight: Column, draw: int) -> Column:
     return F.log(-F.log(u3 * u4)) - r * (t.cast("double") - b) - r
 
 
-def term_rows(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` and term: one row per run of two words (null for no words)."""
-    words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
-    two = rows.select(*keep, words.alias("_w"))
-    n = F.size("_w")
-    pairs = F.when(n > 1, F.arrays_zip(F.slice("_w", F.lit(1), n - 1).alias("a"), F.slice("_w", F.lit(2), n - 1).alias("b"))) \
-        .otherwise(F.arrays_zip(F.col("_w").alias("a"), F.col("_w").alias("b")))
-    return (two.select(*keep, F.inline_outer(pairs))
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
+
+
+def _neighbours(words: Column) -> tuple[Column, Column]:
+    """First and second words of the runs of two; a single word is paired with itself."""
+    n = F.size(words)
+    return F.when(n > 1, F.slice(words, F.lit(1), n - 1)).otherwise(words), F.when(n > 1, F.slice(words, F.lit(2), n - 1)).otherwise(words)
+
+
+def term_rows(rows: DataFrame, words: str, keep: list[str]) -> DataFrame:
+    """``keep`` and term: one row per run of two ``words`` (null for no words)."""
+    a, b = _neighbours(F.col(words))
+    return (rows.select(*keep, F.inline_outer(F.arrays_zip(a.alias("a"), b.alias("b"))))
             .select(*keep, F.when(F.col("a").isNotNull(), F.xxhash64("a", "b")).alias("term")))
 
 
-def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and signature (array of ``samples`` doubles) from term rows."""
-    weighted = (terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
-                .select(*keys, "term", F.log(F.col("_n").cast("double")).alias("_lw")))
-    least = [F.min(F.when(F.col("term").isNotNull(), log_a(F.col("term"), F.col("_lw"), d))).alias(f"_m{d}") for d in range(samples)]
-    return (weighted.groupBy(*keys).agg(*least)
-            .select(*keys, F.array(*[F.coalesce(f"_m{d}", F.lit(_EMPTY)) for d in range(samples)]).alias("signature")))
+def ceiling(pairs: Column, spread: float = SPREAD) -> Column:
+    """What the least a of a text of so many pairs exceeds with a probability of
+    exp(-spread) in a draw; ``_ANY`` where that would leave nothing out."""
+    return F.when(pairs > spread, F.lit(float(spread)) / pairs).otherwise(F.lit(_ANY))
+
+
+def _least_a(draw: int) -> Column:
+    """The least ln a of ``term`` rows with ``_lw`` (ln of the weight). With
+    x = exp(-r) and p = exp(-c), a = c x ** (1 - b) for weight 1, and so
+    a >= (1 - p) x / (1 - b + b x) >= (1 - p) x: terms for which these reach
+    ``_cut`` are left out."""
+    u1, u2 = _uniforms(F.xxhash64("term", F.lit(3 * draw)))
+    u3, u4 = _uniforms(F.xxhash64("term", F.lit(3 * draw + 1)))
+    b, _ = _uniforms(F.xxhash64("term", F.lit(3 * draw + 2)))
+    x, cut = u1 * u2, F.col("_cut")
+    low = x * (1.0 - u3 * u4)
+    # One condition inside the other, so that b is made only behind the first.
+    return F.min(F.when(low < cut, F.when(low < cut * (1.0 - b + b * x), log_a(F.col("term"), F.col("_lw"), draw))))
+
+
+def signatures(counted: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """``keys``, signature (array of ``samples`` doubles, infinite where no term is
+    below the ceiling) and _ceiling, from rows of term, its count _n and _ceiling,
+    which is the same in all rows of a key. See :func:`settled`."""
+    weighted = counted.select(
+        *keys, "term", "_ceiling", F.when(F.col("term").isNotNull(), F.log(F.col("_n").cast("double"))).alias("_lw"),
+        F.when(F.col("_n") == 1, F.col("_ceiling") * (1 + 1e-6)).otherwise(F.lit(_ANY)).alias("_cut"))  # a margin for rounding
+    return (weighted.groupBy(*keys).agg(F.min("_ceiling").alias("_ceiling"), *[_least_a(d).alias(f"_m{d}") for d in range(samples)])
+            .select(*keys, "_ceiling", F.array(*[F.coalesce(f"_m{d}", F.lit(_NONE)) for d in range(samples)]).alias("signature")))
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _drawn_again(text: str, samples: int) -> Column:
+    """The signature of a text from all its terms, in one expression."""
+    def runs(s: Column) -> Column:  # of equal terms in the sorted ones
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return _let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), n), F.array(n + 1)), lambda i, end: F.struct(
+            F.element_at(s, i).alias("term"), F.log((end - i).cast("double")).alias("lw"))))
+
+    def draws(kinds: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda d: F.array_min(
+            F.transform(kinds, lambda k: log_a(k["term"], k["lw"], d))))
+    terms = _let(_words(text), lambda w: F.sort_array(F.zip_with(*_neighbours(w), lambda a, b: F.xxhash64(a, b))))
+    return F.when(F.size(_words(text)) == 0, F.array_repeat(F.lit(_EMPTY), samples)).otherwise(
+        _let(terms, lambda s: _let(runs(s), draws)))
+
+
+def settled(text: str, signature: str, samples: int) -> Column:
+    """``signature`` where each draw is below ``_ceiling``, as nearly all are; else
+    (and for no words) that of all terms of ``text``."""
+    return F.when(F.array_max(signature) <= F.log("_ceiling"), F.col(signature)).otherwise(_drawn_again(text, samples))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -96,8 +161,10 @@ def as_text(signature: str) -> Column:
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """id and signature of every distinct (id, text), for any table."""
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")) \
-        .select("_id", "_text", F.xxhash64("_text").alias("_h")).repartition("_id")
-    return signatures(term_rows(rows, "_text", ["_id", "_h"]), ["_id", "_h"], samples).select(F.col("_id").alias(id_col), "signature")
+        .select("_id", _words("_text").alias("_w"), F.xxhash64("_text").alias("_h")).repartition("_id")
+    counted = term_rows(rows, "_w", ["_id", "_h"]).groupBy("_id", "_h", "term").agg(F.count(F.lit(1)).alias("_n"))
+    found = signatures(counted.withColumn("_ceiling", F.lit(_ANY)), ["_id", "_h"], samples)
+    return found.select(F.col("_id").alias(id_col), F.transform("signature", lambda x: F.when(x == _NONE, _EMPTY).otherwise(x)).alias("signature"))
 
 
 # ----------------------------------------------------------------- successors
@@ -141,7 +208,7 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
                          F.lead("text").over(order).alias("_next"), "_guest")
 
 
-def op5_fingerprints(spark, sf_dir: str, samples: int = SAMPLES) -> DataFrame:
+def op5_fingerprints(spark, sf_dir: str, samples: int = SAMPLES, spread: float = SPREAD) -> DataFrame:
     rows = with_successor(table(spark, sf_dir, "documents").select("doc_id", "text"), buckets(spark, 8))
     half = F.floor(F.length("text") / 2).cast("int")
     both = rows.withColumn("_edited", F.concat(F.substr("text", F.lit(1), F.length("text") - half),
@@ -149,14 +216,29 @@ def op5_fingerprints(spark, sf_dir: str, samples: int = SAMPLES) -> DataFrame:
     # doc_id is no part of the key; with it both branches read the same columns
     # of the texts' shuffle, so that it is made once.
     key = ["_bucket", "_row", "doc_id"]
-    sides = both.select(*key, F.posexplode(F.array("text", "_edited")).alias("_side", "_text"))
-    found = signatures(term_rows(sides, "_text", [*key, "_side"]), [*key, "_side"], samples)
-    pair = found.groupBy(*key).agg(F.max(F.when(F.col("_side") == 0, F.col("signature"))).alias("own"),
-                                   F.max(F.when(F.col("_side") == 1, F.col("signature"))).alias("edited"))
+    words = both.select(*key, _words("text").alias("_w0"), _words("_edited").alias("_w1"))
+    sides = words.select(*key, ceiling(F.least(F.size("_w0"), F.size("_w1")) - 1, spread).alias("_ceiling"),
+                         F.posexplode(F.array("_w0", "_w1")).alias("_side", "_w"))
+    terms = term_rows(sides, "_w", [*key, "_ceiling", "_side"]).groupBy(*key, "term").agg(
+        F.min("_ceiling").alias("_ceiling"), F.count(F.when(F.col("_side") == _OWN, 1)).alias("_n0"),
+        F.count(F.when(F.col("_side") == _EDITED, 1)).alias("_n1"))
+
+    def part(of: int, n: str) -> Column:
+        return F.struct(F.lit(of).alias("_of"), F.col(n).alias("_n"))
+    parts = (F.when(F.col("_n0") == F.col("_n1"), F.array(part(_SHARED, "_n0"))).when(F.col("_n0") == 0, F.array(part(_EDITED, "_n1")))
+             .when(F.col("_n1") == 0, F.array(part(_OWN, "_n0"))).otherwise(F.array(part(_OWN, "_n0"), part(_EDITED, "_n1"))))
+    found = signatures(terms.select(*key, "term", "_ceiling", F.inline(parts)), [*key, "_of"], samples)
+    least = found.groupBy(*key).agg(F.min("_ceiling").alias("_ceiling"), *[
+        F.max(F.when(F.col("_of") == of, F.col("signature"))).alias(f"_s{of}") for of in (_OWN, _EDITED, _SHARED)])
+
+    def lesser(of: int) -> Column:
+        nothing = F.array_repeat(F.lit(_NONE), samples)
+        return F.zip_with(F.coalesce(f"_s{of}", nothing), F.coalesce(f"_s{_SHARED}", nothing), lambda x, y: F.least(x, y))
+    pair = least.select("_bucket", "_row", "_ceiling", lesser(_OWN).alias("own"), lesser(_EDITED).alias("edited"))
     order = Window.partitionBy("_bucket").orderBy("_row")
-    pair = pair.withColumn("after", F.lead("own").over(order))
-    facts = both.where(~F.col("_guest")).select(*key, F.length("text").cast("long").alias("n_chars"),
-                                                F.sha2("_edited", 256).alias("edited_sha256"))
-    return facts.join(pair.drop("doc_id"), ["_bucket", "_row"]).select(
+    whole = both.join(pair, ["_bucket", "_row"]).select(
+        *key, "_guest", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
+        settled("text", "own", samples).alias("own"), settled("_edited", "edited", samples).alias("edited"))
+    return whole.withColumn("after", F.lead("own").over(order)).where(~F.col("_guest")).select(
         "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"),
         likeness("own", "edited").alias("near_edited"), likeness("own", "after").alias("near_next"))

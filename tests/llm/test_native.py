@@ -237,3 +237,24 @@ def test_many_matches_take_linear_time(spark):
         took.append(time.time() - start)
         assert [(s.start, s.end) for s in r.spans] == [(17 * i, 17 * i + 16) for i in range(n)]
     assert took[1] < 8 and took[2] < 4 * took[1] + 2
+
+
+def test_fingerprint_ceilings_leave_results_alone(spark, tmp_path):
+    rnd = random.Random(29)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choice(words[:k]) for _ in range(n)) for k, n in ((400, 900), (3, 60), (400, 30), (40, 300), (1, 200))]
+    rows = [(i, t, None, None, None) for i, t in enumerate([*texts, "", None, " \t", "one", texts[0]])]
+    at = save(spark, tmp_path, rows)
+    found = [sorted(fingerprints.op5_fingerprints(spark, at, samples=8, spread=s).collect()) for s in (1e12, fingerprints.SPREAD, 1.0)]
+    assert found[0] == found[1] == found[2]  # nothing left out; the default; most signatures drawn again
+
+
+def test_fingerprint_query_draws_shared_terms_once(spark, tmp_path, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(100))
+    seen = []
+    whole = fingerprints.signatures
+    monkeypatch.setattr(fingerprints, "signatures", lambda counted, *a: seen.append(counted) or whole(counted, *a))
+    fingerprints.op5_fingerprints(spark, save(spark, tmp_path, [(1, text, None, None, None)]))
+    edited = text[:len(text) - len(text) // 2] + text[:len(text) // 2]
+    counts = [bag(text), bag(edited)]
+    assert seen[0].where("doc_id = 1 and not _row > 1").count() == len(set(counts[0].items()) | set(counts[1].items()))
