@@ -156,8 +156,10 @@ class MergeTransducer:
         if len(data) <= self._window:  # as good as every match: nothing to settle on the way
             ends = [0] * len(data)
             for i, byte in enumerate(data):
-                at = state * 256 + byte
-                state = moves[at] if at in moves else self._step(state, byte)
+                try:
+                    state = moves[state * 256 + byte]
+                except KeyError:
+                    state = self._step(state, byte)
                 ends[i] = last[state]
             return self._path(ends, len(ends))
         for byte in data:
@@ -256,7 +258,13 @@ class Codec:
         self._split = regex.compile(pattern)
         self._machine = MergeTransducer(ranks)
         self._decoder = StreamDecoder({i: b for b, i in ranks.items()})
-        self._memo = CutMemo(lambda parts: [tuple(self.encode_part(p)) for p in parts], cache)
+        self._memo = CutMemo(self._learn, cache)
+
+    def _learn(self, parts: list[str]) -> list[tuple]:
+        """Ids, decimal ids and decoded characters of each cut. Cuts part between
+        characters, so each decodes on its own; added values lie side by side."""
+        found = (tuple(self.encode_part(p)) for p in parts)
+        return [(ids, " ".join(map(str, ids)), self.decode(ids)) for ids in found]
 
     def encode_part(self, text: str) -> list[int]:
         """Ids of a text, each match of the pattern on its own."""
@@ -265,9 +273,16 @@ class Codec:
             out += self._machine.encode(match.encode())
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def coded(self, texts: list[str]) -> Iterator[tuple[list[tuple], str, str]]:
+        """Of each text: ids by cuts, all ids in decimal joined by a space, and the
+        characters that the ids decode to."""
         for parts in self._memo.of(texts):
-            yield list(chain.from_iterable(parts))
+            flat = list(chain.from_iterable(parts))
+            yield flat[::3], " ".join(flat[1::3]), "".join(flat[2::3])
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for ids, _, _ in self.coded(texts):
+            yield list(chain.from_iterable(ids))
 
     def decode(self, ids: Iterable[int]) -> str:
         return self._decoder.feed(ids) + self._decoder.finish()
@@ -285,15 +300,14 @@ def codec_rows(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        digits = list(map(str, range(1 + max(codec._decoder._tokens))))
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, len(texts), 256):
                 rows = []
-                for ids in codec.encode([t or "" for t in texts.slice(lo, 256).to_pylist()]):
-                    back = codec.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest(),
-                                 hashlib.sha256(back.encode()).hexdigest(), *((ids, back) if with_ids else ())))
+                for ids, digits, back in codec.coded([t or "" for t in texts.slice(lo, 256).to_pylist()]):
+                    rows.append((digits.count(" ") + 1 if digits else 0, hashlib.sha256(digits.encode()).hexdigest(),
+                                 hashlib.sha256(back.encode()).hexdigest(),
+                                 *((list(chain.from_iterable(ids)), back) if with_ids else ())))
                 types = [pa.int64(), pa.string(), pa.string(), *((pa.list_(pa.int32()), pa.string()) if with_ids else ())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ())]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]

@@ -266,3 +266,29 @@ def test_matches_around_the_lookahead_and_states_that_are_kept():
     first = [machine.encode(w) for w in words]
     machine._step = None  # no transition is left to make
     assert [machine.encode(w) for w in words] == first
+
+
+def test_ordinary_cuts_need_no_closer_look(monkeypatch):
+    looked = []
+    monkeypatch.setattr(text_cuts, "settled", lambda k, of=text_cuts.settled: looked.append(k) or of(k))
+    memo = text_cuts.CutMemo(lambda parts: [(p,) for p in parts], 4)
+    texts = ["plain words, here.", "two  blanks", " a\tb \n", "end.", "plain words, here."]
+    for _ in range(3):  # the young half becomes the old one on the way
+        for text in texts:
+            assert "".join("".join(p) for cut in memo.of([text]) for p in cut) == text
+    assert looked and not {"words,", "here.", "blanks"} & set(looked)
+
+
+def test_cuts_are_decoded_once():
+    import public_tokenizers
+    codec = byte_bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    fed = []
+    feed = codec._decoder.feed
+    codec._decoder.feed = lambda ids: fed.extend(ids) or feed(ids)
+    texts = ["snow über Ёлка, 雪  \t🎿 x.", "", "again and again"] * 20
+    for text, (ids, digits, back) in zip(texts, codec.coded(texts)):
+        assert back == text
+        assert digits == " ".join(str(i) for cut in ids for i in cut)
+    once = len(fed)
+    assert [list(i) for i in codec.encode(texts)] == [[int(d) for d in digits.split()] for _, digits, _ in codec.coded(texts)]
+    assert len(fed) == once < sum(map(len, codec.encode(texts))) / 10
