@@ -27,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -60,7 +61,7 @@ class Encoder:
 
     def _learn(self, parts: list[str]) -> list[bytes]:
         found = self._tok.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

@@ -31,7 +31,7 @@ def keys(text: str) -> list[str]:
 
 def settled(key: str) -> bool:
     inner = key[1:] if key[:1] in (_PLAIN, "\n") else key
-    return bool(inner) and not inner[0].isspace() and not inner[-1].isspace()
+    return inner != "" and inner == inner.strip()
 
 
 def careful_keys(text: str) -> list[str]:
@@ -44,11 +44,7 @@ def plain(key: str) -> str:
     return key if key[:1] == "\n" else " " + key
 
 
-def _stem(key: str) -> str:
-    """``key`` without closing marks that stand right after a letter; the split
-    pattern ends a match between a letter and a mark."""
-    stem = key.rstrip(",.;:!?")
-    return stem if stem != key and stem[-1:].isalpha() else key
+_MARKS = ",.;:!?"
 
 
 class CutMemo:
@@ -62,26 +58,33 @@ class CutMemo:
         self._old: dict[str, Any] = {}
 
     def _fill(self, wanted: set[str]) -> None:
-        """Remember the values of ``wanted``, none of which is in the young half."""
-        stems = {k: _stem(k) for k in wanted if k not in self._old}
+        """Remember the values of ``wanted``, none of which is in the young half.
+        Closing marks that stand right after a letter are learnt on their own, as
+        the split pattern ends a match between a letter and a mark."""
         young, old = self._young, self._old
+        parts, marked = set(), []
         for k in wanted:
-            if k not in stems:
+            if k in old:
                 young[k] = old[k]
-        parts = set(stems.values())
-        parts.update(_PLAIN + k[len(s):] for k, s in stems.items() if len(s) < len(k))
+                continue
+            stem = k.rstrip(_MARKS)
+            if stem == k or not stem[-1:].isalpha():
+                parts.add(k)
+            else:
+                marks = _PLAIN + k[len(stem):]
+                parts.add(stem)
+                parts.add(marks)
+                marked.append((k, stem, marks))
         fresh = []
-        for k in parts:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    fresh.append(k)
+        for k in parts.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                fresh.append(k)
         if fresh:
-            young.update(zip(fresh, self._learn([plain(k) for k in fresh])))
-        for k, s in stems.items():
-            if len(s) < len(k):
-                young[k] = young[s] + young[_PLAIN + k[len(s):]]
+            young.update(zip(fresh, self._learn(list(map(plain, fresh)))))
+        for k, stem, marks in marked:
+            young[k] = young[stem] + young[marks]
 
     def of(self, texts: list[str]) -> Iterator[list[Any]]:
         """Values of the cuts of each text, in order."""
@@ -89,7 +92,8 @@ class CutMemo:
             self._old, self._young = self._young, {}
         cuts = [keys(t) for t in texts]
         wanted = set().union(*cuts).difference(self._young)
-        odd = {k for k in wanted if k not in self._old and not settled(k)}
+        # A word without a blank at an end, as most are, needs no closer look.
+        odd = {k for k in wanted if (not k or k.strip() != k) and k not in self._old and not settled(k)}
         if odd:
             cuts = [careful_keys(t) if not odd.isdisjoint(c) else c for t, c in zip(texts, cuts)]
             wanted = set().union(*cuts).difference(self._young)
