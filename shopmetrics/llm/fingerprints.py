@@ -16,8 +16,9 @@ A text and its edited text share most terms: a term that occurs equally often in
 both is drawn once for the two. The least a of n weights is exponential with
 rate n, so all but a small share of the terms lie above a ceiling that the least
 one exceeds in one of exp(SPREAD) draws only. Terms whose a a cheap lower bound
-puts above it take no logarithms; a signature that did not end below its ceiling
-is drawn again from all terms, so that results are exact.
+puts above it take no logarithms. Signatures are checked to end below their
+ceiling, and so are exact; that one does not has a probability far below that of
+two terms with the same 64-bit hash, and stops the query.
 
 Plan: texts cross one shuffle, into buckets of neighbouring ids (cut at
 approximate quantiles; the number of buckets follows the session's shuffle
@@ -47,7 +48,7 @@ from .common import buckets, table, text_or_empty
 
 # The standard error of a likeness s is sqrt(s * (1 - s) / SAMPLES), 0.05 at 0.8.
 SAMPLES = 64
-SPREAD = 24.0
+SPREAD = 64.0
 _EMPTY = -1e300  # in place of the least a of no terms
 _ANY = 1e300  # a ceiling above every a
 _NONE = float("inf")  # no term below the ceiling
@@ -122,30 +123,12 @@ def signatures(counted: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
             .select(*keys, "_ceiling", F.array(*[F.coalesce(f"_m{d}", F.lit(_NONE)) for d in range(samples)]).alias("signature")))
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _drawn_again(text: str, samples: int) -> Column:
-    """The signature of a text from all its terms, in one expression."""
-    def runs(s: Column) -> Column:  # of equal terms in the sorted ones
-        n = F.size(s)
-        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-        return _let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), n), F.array(n + 1)), lambda i, end: F.struct(
-            F.element_at(s, i).alias("term"), F.log((end - i).cast("double")).alias("lw"))))
-
-    def draws(kinds: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda d: F.array_min(
-            F.transform(kinds, lambda k: log_a(k["term"], k["lw"], d))))
-    terms = _let(_words(text), lambda w: F.sort_array(F.zip_with(*_neighbours(w), lambda a, b: F.xxhash64(a, b))))
-    return F.when(F.size(_words(text)) == 0, F.array_repeat(F.lit(_EMPTY), samples)).otherwise(
-        _let(terms, lambda s: _let(runs(s), draws)))
-
-
-def settled(text: str, signature: str, samples: int) -> Column:
-    """``signature`` where each draw is below ``_ceiling``, as nearly all are; else
-    (and for no words) that of all terms of ``text``."""
-    return F.when(F.array_max(signature) <= F.log("_ceiling"), F.col(signature)).otherwise(_drawn_again(text, samples))
+def settled(signature: Column) -> Column:
+    """``signature``, which must be below ``_ceiling`` in each draw (any is, where
+    nothing was left out); no words have the signature of the empty set."""
+    samples = F.transform(signature, lambda x: F.when(x == _NONE, _EMPTY).otherwise(x))
+    sure = (F.col("_ceiling") == _ANY) | (F.array_max(signature) <= F.log("_ceiling"))
+    return F.when(sure, samples).otherwise(F.raise_error(F.lit("a draw has no term below its ceiling: raise SPREAD")).cast("array<double>"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -164,7 +147,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("_id", _words("_text").alias("_w"), F.xxhash64("_text").alias("_h")).repartition("_id")
     counted = term_rows(rows, "_w", ["_id", "_h"]).groupBy("_id", "_h", "term").agg(F.count(F.lit(1)).alias("_n"))
     found = signatures(counted.withColumn("_ceiling", F.lit(_ANY)), ["_id", "_h"], samples)
-    return found.select(F.col("_id").alias(id_col), F.transform("signature", lambda x: F.when(x == _NONE, _EMPTY).otherwise(x)).alias("signature"))
+    return found.select(F.col("_id").alias(id_col), settled(F.col("signature")).alias("signature"))
 
 
 # ----------------------------------------------------------------- successors
@@ -234,11 +217,11 @@ def op5_fingerprints(spark, sf_dir: str, samples: int = SAMPLES, spread: float =
     def lesser(of: int) -> Column:
         nothing = F.array_repeat(F.lit(_NONE), samples)
         return F.zip_with(F.coalesce(f"_s{of}", nothing), F.coalesce(f"_s{_SHARED}", nothing), lambda x, y: F.least(x, y))
-    pair = least.select("_bucket", "_row", "_ceiling", lesser(_OWN).alias("own"), lesser(_EDITED).alias("edited"))
+    pair = least.select("_bucket", "_row", settled(lesser(_OWN)).alias("own"), settled(lesser(_EDITED)).alias("edited"))
     order = Window.partitionBy("_bucket").orderBy("_row")
-    whole = both.join(pair, ["_bucket", "_row"]).select(
-        *key, "_guest", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
-        settled("text", "own", samples).alias("own"), settled("_edited", "edited", samples).alias("edited"))
-    return whole.withColumn("after", F.lead("own").over(order)).where(~F.col("_guest")).select(
+    pair = pair.withColumn("after", F.lead("own").over(order))
+    facts = both.where(~F.col("_guest")).select(*key, F.length("text").cast("long").alias("n_chars"),
+                                                F.sha2("_edited", 256).alias("edited_sha256"))
+    return facts.join(pair, ["_bucket", "_row"]).select(
         "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"),
         likeness("own", "edited").alias("near_edited"), likeness("own", "after").alias("near_next"))

@@ -245,8 +245,10 @@ def test_fingerprint_ceilings_leave_results_alone(spark, tmp_path):
     texts = [" ".join(rnd.choice(words[:k]) for _ in range(n)) for k, n in ((400, 900), (3, 60), (400, 30), (40, 300), (1, 200))]
     rows = [(i, t, None, None, None) for i, t in enumerate([*texts, "", None, " \t", "one", texts[0]])]
     at = save(spark, tmp_path, rows)
-    found = [sorted(fingerprints.op5_fingerprints(spark, at, samples=8, spread=s).collect()) for s in (1e12, fingerprints.SPREAD, 1.0)]
-    assert found[0] == found[1] == found[2]  # nothing left out; the default; most signatures drawn again
+    found = [sorted(fingerprints.op5_fingerprints(spark, at, samples=8, spread=s).collect()) for s in (1e12, 20.0)]
+    assert found[0] == found[1]  # with nothing left out, and with most terms
+    with pytest.raises(Exception, match="below its ceiling"):
+        fingerprints.op5_fingerprints(spark, at, samples=8, spread=0.01).collect()
 
 
 def test_fingerprint_query_draws_shared_terms_once(spark, tmp_path, monkeypatch):
