@@ -26,14 +26,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import kept, ship, table
 from .text_cuts import CutMemo
 
 MAX_STATES = 300_000
@@ -288,7 +287,7 @@ class Codec:
         return self._decoder.feed(ids) + self._decoder.finish()
 
 
-@lru_cache(maxsize=2)
+@kept
 def _codec(ranks_path: str, pattern: str) -> Codec:
     """A worker process keeps its codec, and so its tables, from task to task."""
     return Codec(ranks_path, pattern)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,6 +98,21 @@ def own_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+_KEPT: list = []
+
+
+def kept(make):
+    """``make`` with its last two results kept by the worker process from task to
+    task, until a task that needs the memory calls :func:`drop_kept`."""
+    _KEPT.append(lru_cache(maxsize=2)(make))
+    return _KEPT[-1]
+
+
+def drop_kept() -> None:
+    for make in _KEPT:
+        make.cache_clear()
+
+
 BATCH_ROWS = 1_000
 _SHIPPED: set[str] = set()
 

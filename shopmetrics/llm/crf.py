@@ -71,8 +71,24 @@ class Chains:
                 b[i] = one / (one + none)
             else:
                 b[i] = 0.5
+        del x
         one = q * b
-        return one / (one + (1 - q) * (1 - b)), q, b
+        none = (1 - q) * (1 - b)
+        none += one
+        one /= none
+        return one, q, b
+
+
+BLOCK = 1 << 18
+
+
+def by_number(number: np.ndarray, weight: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``weight[place]`` by ``number``, as bincount adds them up, block by
+    block: the list of all features of all types is by far the longest array."""
+    out = np.zeros(n)
+    for lo in range(0, len(number), BLOCK):
+        np.add.at(out, number[lo:lo + BLOCK], weight[place[lo:lo + BLOCK]])
+    return out
 
 
 def fit(feature: np.ndarray, owner: np.ndarray, n_features: int, n_types: int, token_type: np.ndarray, tags: np.ndarray,
@@ -88,22 +104,30 @@ def fit(feature: np.ndarray, owner: np.ndarray, n_features: int, n_types: int, t
     inner = np.ones(len(tags), bool)
     inner[chains.start[lengths > 0]] = False
     at = np.flatnonzero(inner)
-    pair = tags[at - 1] * 2 + tags[at]
-    seen = np.bincount(pair, minlength=4).reshape(2, 2)
+    seen = np.bincount(tags[at - 1] * 2 + tags[at], minlength=4).reshape(2, 2)
     heads = tags[~inner]
     params = [w, trans, start]
     m = [np.zeros_like(p) for p in params]
     v = [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        emission = np.bincount(owner, weights=w[feature], minlength=n_types)[token_type]
+        emission = by_number(owner, w, feature, n_types)[token_type]
         p, q, b = chains.marginals(emission, trans, start)
         by_type = np.bincount(token_type, weights=tags - p, minlength=n_types)
-        gw = np.bincount(feature, weights=by_type[owner], minlength=n_features) - decay * w
+        gw = by_number(feature, by_type, owner, n_features) - decay * w
         x, t = np.exp(np.clip(emission[at], -30, 30)), np.exp(trans)
+        del emission
         before, after = q[at - 1], b[at]
-        joint = np.stack([(1 - before) * t[0, 0] * (1 - after), (1 - before) * t[0, 1] * x * after,
-                          before * t[1, 0] * (1 - after), before * t[1, 1] * x * after])
-        expected = (joint / joint.sum(0)).sum(1).reshape(2, 2)
+        del q, b
+        joint = [(1 - before) * t[0, 0] * (1 - after), (1 - before) * t[0, 1] * x * after,
+                 before * t[1, 0] * (1 - after), before * t[1, 1] * x * after]
+        del x, before, after
+        every = joint[0] + joint[1]
+        every += joint[2]
+        every += joint[3]
+        for part in joint:
+            part /= every
+        expected = np.array([part.sum() for part in joint]).reshape(2, 2)
+        del joint, every
         p0 = p[~inner]
         gs = np.array([(p0 - heads).sum(), (heads - p0).sum()])
         for k, g in enumerate((gw, seen - expected, gs)):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import ship, table, text_or_empty
+from .common import drop_kept, ship, table, text_or_empty
 
 SAMPLE_TOXIC = 1_000
 SAMPLE_CLEAN = 3_000
@@ -164,10 +164,12 @@ def learn(texts: list[str], toxic: list[int], toxic_share: float) -> Model:
         sizes[k] = len(fs)
     feature = np.frombuffer(feature, np.int32) if len(feature) else np.empty(0, np.int32)
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    n_types = len(number)
+    del number, texts  # what is left works on numbers
     # Documents that hold each feature: counts of the clean, places of the toxic.
     first, starts = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
     n0, f1, d1 = np.zeros(len(index), np.int64), [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-    for i in range(len(texts)):
+    for i in range(len(lengths)):
         kinds = np.unique(token_type[starts[i]:starts[i] + lengths[i]])
         held = np.unique(np.concatenate([feature[first[k]:first[k] + sizes[k]] for k in kinds])) if len(kinds) else f1[0]
         if y[i]:
@@ -178,18 +180,21 @@ def learn(texts: list[str], toxic: list[int], toxic_share: float) -> Model:
     f1, d1 = np.concatenate(f1), np.concatenate(d1)
     telling = _telling(n0, f1, d1, _draws(token_type, lengths, 6), y.mean())
     lexical = np.fromiter((f[:2] in ("w=", "p=") for f in index), bool, len(index))
-    marked = np.zeros(len(number), bool)
+    marked = np.zeros(n_types, bool)
     marked[owner[(telling & lexical)[feature]]] = True
     tags = (marked[token_type] & np.repeat(y == 1, lengths)).astype(np.int64)
     often = n0 + np.bincount(f1, minlength=len(index)) > 1
-    del f1, d1
-    renumber = np.cumsum(often) - 1
+    renumber = np.cumsum(often, dtype=np.int32) - 1
+    index = {f: int(renumber[i]) for f, i in index.items() if often[i]}
     use = often[feature]
-    w, trans, start = crf.fit(renumber[feature[use]], owner[use], int(often.sum()), len(number), token_type, tags, lengths)
-    emission = np.bincount(owner[use], weights=w[renumber[feature[use]]], minlength=len(number))[token_type]
-    weights = {f: float(w[renumber[i]]) for f, i in index.items() if often[i] and abs(w[renumber[i]]) > 1e-3}
+    feature, owner = renumber[feature[use]], owner[use]
+    del f1, d1, n0, use, telling, lexical, marked, renumber
+    w, trans, start = crf.fit(feature, owner, len(index), n_types, token_type, tags, lengths)
+    del tags
+    emission = crf.by_number(owner, w, feature, n_types)[token_type]
+    weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
     p, _, _ = crf.Chains(lengths).marginals(emission, trans, start)
-    most = np.zeros(len(texts))
+    most = np.zeros(len(lengths))
     some = lengths > 0
     if some.any():
         most[some] = np.maximum.reduceat(p, (np.cumsum(lengths) - lengths)[some])
@@ -221,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     ship(spark)
 
     def fit(batches):
+        drop_kept()  # the tables of other stages' tasks
         rows = sorted((r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
         if len({r[2] for r in rows}) == 2:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([r[1] for r in rows], [r[2] for r in rows], share))], pa.binary())], names=["model"])

@@ -263,3 +263,19 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_pipeline_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, save(spark, tmp_path, [])).count() == 0
+
+
+def test_fit_holds_few_arrays_of_tokens():
+    import tracemalloc
+    rnd = np.random.default_rng(1)
+    tokens, types, features = 200_000, 5_000, 2_000
+    feature = rnd.integers(0, features, 8 * types).astype(np.int32)
+    owner = np.repeat(np.arange(types, dtype=np.int32), 8)
+    weight = rnd.random(features)
+    assert np.array_equal(crf.by_number(owner, weight, feature, types), np.bincount(owner, weights=weight[feature], minlength=types))
+    token_type, tags = rnd.integers(0, types, tokens).astype(np.int32), (rnd.random(tokens) < 0.1).astype(np.int64)
+    tracemalloc.start()
+    crf.fit(feature, owner, features, types, token_type, tags, np.full(400, 500), steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 * tokens, peak / tokens
