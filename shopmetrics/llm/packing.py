@@ -30,19 +30,22 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, durable, rank_within, ship, table
-from .text_cuts import CutMemo
+from .common import buckets, durable, kept, rank_within, ship, table
+from .text_cuts import CutMemo, plain
 
 CAPACITY = 1024
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+JOINED = 2_000  # words that are encoded as one text
+PORTION = 1 << 20  # bytes of text that are encoded at a time, or one text
+_BLANKS = ("\u0120", "\u010a")  # space and line feed, as byte-level vocabularies write them
 CACHE = 200_000  # texts between blanks whose ids a worker remembers, twice at most (about 200 bytes each, so 80 MB)
 
 
@@ -57,26 +60,74 @@ class Encoder:
         # Strings of special tokens in a text get the special ids, as the library has
         # it; a cut could part or join them, so such texts are encoded whole.
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        vocabulary = self._tok.get_vocab()
+        self._begins = np.zeros(1 + max(vocabulary.values()), bool)  # tokens whose first byte is a space or line feed
+        self._begins[[i for t, i in vocabulary.items() if t[:1] in _BLANKS]] = True
         self._memo = CutMemo(self._learn, cache)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, parts: list[str]) -> list[bytes]:
-        found = self._tok.encode_batch_fast(parts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in self._ids(parts)]
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a blank (a space, if they hold none). They are
+        joined: each begins at a token that begins with a blank, as no other does."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), JOINED):
+            some = words[lo:lo + JOINED]
+            ids = np.array(self._ids([(" " + " ".join(some)).replace(" \n", "\n")])[0], "<u4")
+            begins = np.flatnonzero(self._begins[ids])
+            if len(begins) == len(some):
+                raw, at = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+                out += [raw[i:j] for i, j in zip(at, at[1:])]
+            else:  # another kind of vocabulary
+                out += self._learn(list(map(plain, some)))
+        return out
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls), one after the other, and how many each has."""
+        odd = np.zeros(len(texts), bool)
+        for s in self._special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(odd)
+        cuts = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts) if len(rows) else texts
+        values, place, sizes = self._memo.of_column(cuts, self._learn_words)
+        if len(rows):
+            place = np.insert(place, np.cumsum(sizes)[rows], len(values) + np.arange(len(rows)))
+            sizes[rows] = 1
+            values += self._learn(texts.take(pa.array(rows)).to_pylist())
+        counts = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        n = counts[place]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat((np.cumsum(counts) - counts)[place] - stops[:-1], n) + np.arange(stops[-1])]
+        return flat, np.diff(stops[np.concatenate([[0], np.cumsum(sizes)])])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        odd = [any(s in t for s in self._special) for t in texts]
-        whole = iter(self._learn([t for t, o in zip(texts, odd) if o]))
-        cuts = self._memo.of([t for t, o in zip(texts, odd) if not o])
-        return (next(whole) if o else b"".join(next(cuts)) for o in odd)
+        flat, counts = self.encode_column(pa.array(texts, pa.string()))
+        stops = np.cumsum(counts)
+        return (flat[i:j].tobytes() for i, j in zip(stops - counts, stops))
 
 
-@lru_cache(maxsize=2)
+@kept
 def _encoder(path: str) -> Encoder:
     """A worker process keeps its encoder, and so its memo, from task to task."""
     return Encoder(path)
 
 
+def portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) rows of portions of about ``most`` bytes."""
+    stops = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    lo = 0
+    while lo < len(stops):
+        stop = max(lo + 1, int(np.searchsorted(stops, (stops[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, stop
+        lo = stop
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
                  with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32[, ids]."""
@@ -87,14 +138,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches):
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo in range(0, len(doc_ids), 256):
+            doc_ids, texts = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
+            for lo, stop_row in portions(texts):
                 out: list[list] = [[], [], [], [], []]
                 ids_out = []
-                part = [t or "" for t in texts.slice(lo, 256).to_pylist()]
-                for doc_id, ids in zip(doc_ids[lo:lo + 256], encoder.encode(part)):
-                    ids += end
-                    n = len(ids) // 4
+                flat, counts = encoder.encode_column(texts.slice(lo, stop_row - lo))
+                raw, at = flat.tobytes(), 0
+                for doc_id, n in zip(doc_ids[lo:stop_row], counts.tolist()):
+                    ids = raw[at:at + 4 * n] + end
+                    at += 4 * n
+                    n += 1
                     first = n % capacity or capacity
                     start = 0
                     for piece, stop in enumerate(range(first, n + 1, capacity)):

@@ -10,8 +10,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Words hold no space, so a leading one can mark a key that stands for itself.
 _PLAIN = " "
@@ -100,3 +105,57 @@ class CutMemo:
         self._fill(wanted)
         for cut in cuts:
             yield list(map(self._young.__getitem__, cut))
+
+    def of_column(self, texts: pa.Array, learn_words: Callable[[list[str]], list[Any]]) -> tuple[list[Any], np.ndarray, np.ndarray]:
+        """The same for a column without nulls, where each distinct cut of the column
+        is looked up once: values, which of them the cuts of all texts have (in
+        order), and the number of cuts of each text. ``learn_words`` takes keys
+        without a blank but a line feed that they may begin with."""
+        if len(self._young) > self._size:
+            self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = words.flatten().dictionary_encode()
+        place, kinds = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ends = words.offsets.to_numpy()[1:].astype(np.int64)
+        sizes = np.diff(ends, prepend=0)
+        heads = ends - sizes
+        firsts = [_PLAIN + kinds[i] for i in place[heads]]
+        place = place.astype(np.int32)  # a copy
+        place[heads] = len(kinds) + np.arange(len(heads))
+        values = list(map(young.get, kinds))
+        odd = [i for i, v in enumerate(values) if v is None and ((k := kinds[i]).strip() != k or not k) and not settled(k)]
+        odd += [len(kinds) + i for i, k in enumerate(firsts) if not settled(k)]
+        kinds += firsts
+        values += map(young.get, firsts)
+        if odd:
+            is_odd = np.zeros(len(kinds), bool)
+            is_odd[odd] = True
+            parts = np.split(place, ends[:-1])
+            rows = np.flatnonzero(np.add.reduceat(is_odd[place], heads))  # no text is without a word
+            for i, text in zip(rows, texts.take(pa.array(rows)).to_pylist()):
+                own = careful_keys(text) if text else []
+                parts[i] = np.arange(len(kinds), len(kinds) + len(own), dtype=np.int32)
+                sizes[i] = len(own)
+                kinds += own
+                values += map(young.get, own)
+            place = np.concatenate(parts)
+            used = np.zeros(len(kinds), bool)
+            used[place] = True
+            place = (np.cumsum(used, dtype=np.int32) - 1)[place]
+            kinds, values = list(compress(kinds, used)), list(compress(values, used))
+        missing = [i for i, v in enumerate(values) if v is None]
+        fresh = []
+        for i in missing:
+            value = old.get(kinds[i])
+            if value is None:
+                fresh.append(i)
+            else:
+                young[kinds[i]] = values[i] = value
+        single = [k for i in fresh if (k := kinds[i])[:1] != _PLAIN]
+        other = list({k for i in fresh if (k := kinds[i])[:1] == _PLAIN})
+        young.update(zip(single, learn_words(single)))
+        young.update(zip(other, self._learn(list(map(plain, other)))))
+        for i in fresh:
+            values[i] = young[kinds[i]]
+        return values, place, sizes

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shopmetrics.llm import byte_bpe, packing, sharding, text_cuts, token_counts
-from shopmetrics.llm.common import durable
+from shopmetrics.llm.common import drop_kept, durable
 
 from .helpers import ODD, encoding, frame, groups, save
 
@@ -292,3 +293,38 @@ def test_cuts_are_decoded_once():
     once = len(fed)
     assert [list(i) for i in codec.encode(texts)] == [[int(d) for d in digits.split()] for _, digits, _ in codec.coded(texts)]
     assert len(fed) == once < sum(map(len, codec.encode(texts))) / 10
+
+
+# -------------------------------------------------------------- columns of texts
+def test_columns_of_texts_have_the_librarys_ids():
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    rows = texts(600) + ["", " ", "\n", "  a", "a  ", "\na", "a\n", "a \x1c b", "words, and words. and\nwords"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(rows, add_special_tokens=False)]
+    for cache in (20, 10_000):
+        enc, got = packing.Encoder(path, cache=cache), []
+        for lo in range(0, len(rows), 37):
+            flat, counts = enc.encode_column(pa.array(rows[lo:lo + 37]))
+            got += [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+        assert got == want
+    assert enc.encode_column(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_new_words_are_encoded_together():
+    enc, seen = packing.Encoder(P.path("byte_bpe_50k.json")), []
+    plainly = enc._ids
+    enc._ids = lambda parts: seen.extend(parts) or plainly(parts)
+    enc.encode_column(pa.array([" ".join(f"w{i}x{j}" for j in range(500)) for i in range(10)]))
+    assert len(seen) <= 10 + 5_000 // packing.JOINED + 1  # the first words, and joined ones
+
+
+def test_portions_by_size():
+    got = list(packing.portions(pa.array(["a" * n for n in (3, 3, 3, 50, 1, 0, 9, 1)]), 7))
+    assert got == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7), (7, 8)]
+
+
+def test_kept_tables_are_dropped():
+    first = packing._encoder(P.path("byte_bpe_50k.json"))
+    assert packing._encoder(P.path("byte_bpe_50k.json")) is first
+    drop_kept()
+    assert packing._encoder(P.path("byte_bpe_50k.json")) is not first
