@@ -260,3 +260,12 @@ def test_fingerprint_query_draws_shared_terms_once(spark, tmp_path, monkeypatch)
     edited = text[:len(text) - len(text) // 2] + text[:len(text) // 2]
     counts = [bag(text), bag(edited)]
     assert seen[0].where("doc_id = 1 and not _row > 1").count() == len(set(counts[0].items()) | set(counts[1].items()))
+
+
+def test_bound_leaves_out_most_terms_above_the_ceiling(spark):
+    u = [F.rand(k) for k in range(5)]
+    rows = spark.range(20_000).select((u[0] * u[1]).alias("x"), (u[2] * u[3]).alias("p"), u[4].alias("b"), F.lit(0.2).alias("cut"))
+    first, second = fingerprints.may_be_below(*(F.col(c) for c in ("x", "p", "b", "cut")))
+    below = -F.log("p") * F.pow("x", 1 - F.col("b")) < F.col("cut")
+    lost, looked = rows.select(F.sum((below & ~(first & second)).cast("int")), F.avg((first & second).cast("int"))).first()
+    assert lost == 0 and looked < 0.35  # 0.18 are below
