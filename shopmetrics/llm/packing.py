@@ -44,7 +44,7 @@ CAPACITY = 1024
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 JOINED = 2_000  # words that are encoded as one text
-PORTION = 1 << 20  # bytes of text that are encoded at a time, or one text
+PORTION = 4 << 20  # bytes of text that are encoded at a time, or one text; each looks up a word once
 _BLANKS = ("\u0120", "\u010a")  # space and line feed, as byte-level vocabularies write them
 CACHE = 200_000  # texts between blanks whose ids a worker remembers, twice at most (about 200 bytes each, so 80 MB)
 

@@ -144,18 +144,32 @@ class CutMemo:
             used[place] = True
             place = (np.cumsum(used, dtype=np.int32) - 1)[place]
             kinds, values = list(compress(kinds, used)), list(compress(values, used))
-        missing = [i for i, v in enumerate(values) if v is None]
-        fresh = []
-        for i in missing:
-            value = old.get(kinds[i])
-            if value is None:
+        fresh, marked, learnt = [], [], {}
+        for i in [i for i, v in enumerate(values) if v is None]:
+            k = kinds[i]
+            value = old.get(k)
+            if value is not None:
+                young[k] = values[i] = value
+                continue
+            stem = k.rstrip(_MARKS)
+            if stem == k or not stem[-1:].isalpha():
                 fresh.append(i)
-            else:
-                young[kinds[i]] = values[i] = value
-        single = [k for i in fresh if (k := kinds[i])[:1] != _PLAIN]
-        other = list({k for i in fresh if (k := kinds[i])[:1] == _PLAIN})
+                learnt[k] = None
+                continue
+            marks = _PLAIN + k[len(stem):]  # on their own, as in _fill
+            marked.append((i, stem, marks))
+            for part in (stem, marks):
+                if part not in young:
+                    if part in old:
+                        young[part] = old[part]
+                    else:
+                        learnt[part] = None
+        single = [k for k in learnt if k[:1] != _PLAIN]
+        other = [k for k in learnt if k[:1] == _PLAIN]
         young.update(zip(single, learn_words(single)))
         young.update(zip(other, self._learn(list(map(plain, other)))))
         for i in fresh:
             values[i] = young[kinds[i]]
+        for i, stem, marks in marked:
+            young[kinds[i]] = values[i] = young[stem] + young[marks]
         return values, place, sizes

@@ -328,3 +328,22 @@ def test_kept_tables_are_dropped():
     assert packing._encoder(P.path("byte_bpe_50k.json")) is first
     drop_kept()
     assert packing._encoder(P.path("byte_bpe_50k.json")) is not first
+
+
+def test_cuts_with_closing_marks_are_learnt_without_them_in_columns():
+    learnt = []
+
+    def learn(parts):
+        learnt.extend(parts)
+        return [f"<{p}>".encode() for p in parts]
+    memo = text_cuts.CutMemo(learn, 100)
+
+    def words(keys):
+        return learn([text_cuts.plain(k) for k in keys])
+    values, place, sizes = memo.of_column(pa.array(["ab cd. ef?!", "ab. cd ef 1. ..."]), words)
+    assert [values[i] for i in place] == [b"<ab>", b"< cd><.>", b"< ef><?!>", b"<ab><.>", b"< cd>", b"< ef>", b"< 1.>", b"< ...>"]
+    assert sizes.tolist() == [3, 5] and len(learnt) == len(set(learnt))  # " cd" once, with and without its mark
+
+
+def test_a_whole_batch_is_one_portion():
+    assert list(packing.portions(pa.array(["a" * 3_300] * 1_000))) == [(0, 1_000)]
