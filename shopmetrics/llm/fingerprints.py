@@ -21,8 +21,8 @@ ceiling, and so are exact; one that does not (about 1e-8 for all draws of 15
 million texts) stops the query instead of giving a wrong row.
 
 Plan: texts cross one shuffle, into buckets of neighbouring ids (cut at
-approximate quantiles; the number of buckets follows the session's shuffle
-width). The first row of each bucket is also sent to the bucket before it, the
+approximate quantiles; the number of buckets follows the texts' bytes, within
+once and eight times the session's shuffle width). The first row of each bucket is also sent to the bucket before it, the
 very first one to the last, so every row finds its successor inside its bucket.
 Counting terms and taking minima are grouped by the bucket first and need no
 further shuffle; no group is larger than a text.
@@ -49,6 +49,8 @@ from .common import buckets, table, text_or_empty
 # The standard error of a likeness s is sqrt(s * (1 - s) / SAMPLES), 0.05 at 0.8.
 SAMPLES = 64
 SPREAD = 40.0  # exp(-40) = 4e-18 a draw; 2e9 draws in 15 million texts and edited texts
+BLOCK = 32  # draws of one row; each is a long expression, which the driver plans once for all blocks
+BUCKET = 2 << 20  # bytes of text
 _EMPTY = -1e300  # in place of the least a of no terms
 _ANY = 1e300  # a ceiling above every a
 _NONE = float("inf")  # no term below the ceiling
@@ -57,22 +59,27 @@ _FIRST = -(1 << 63)  # orders null ids before all others
 
 
 # -------------------------------------------------------------------- samples
-def _uniforms(h: Column) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from the halves of a 64-bit hash."""
-    unit = float(1 << 32)
-    low = (h.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) / unit
-    high = (F.shiftrightunsigned(h, 32).cast("double") + 0.5) / unit
-    return low, high
+def _hash(draw: int, k: int) -> str:
+    return f"xxhash64(term, _seed + {3 * draw + k})"
 
 
-def log_a(term: Column, log_weight: Column, draw: int) -> Column:
+def _product(h: str) -> Column:
+    """Product of two numbers in (0, 1) from the halves of a 64-bit hash. Written as
+    SQL, as each call on a Column costs the driver time and memory."""
+    return F.expr(f"(({h} & 4294967295) + 0.5D) * (shiftrightunsigned({h}, 32) + 0.5D) * {2.0 ** -64!r}D")
+
+
+def numbers(draw: int) -> tuple[Column, Column, Column]:
+    """x = exp(-r), p = exp(-c) and b of ``term`` in one draw of the block at ``_seed``."""
+    return (_product(_hash(draw, 0)), _product(_hash(draw, 1)),
+            F.expr(f"(({_hash(draw, 2)} & 4294967295) + 0.5D) * {2.0 ** -32!r}D"))
+
+
+def log_a(x: Column, p: Column, b: Column, log_weight: Column) -> Column:
     """ln a of a term in one draw."""
-    u1, u2 = _uniforms(F.xxhash64(term, F.lit(3 * draw)))
-    u3, u4 = _uniforms(F.xxhash64(term, F.lit(3 * draw + 1)))
-    b, _ = _uniforms(F.xxhash64(term, F.lit(3 * draw + 2)))
-    r = -F.log(u1 * u2)
+    r = -F.log(x)
     t = F.floor(log_weight / r + b)
-    return F.log(-F.log(u3 * u4)) - r * (t.cast("double") - b) - r
+    return F.log(-F.log(p)) - r * (t.cast("double") - b) - r
 
 
 def _words(text: str) -> Column:
@@ -107,25 +114,29 @@ def may_be_below(x: Column, p: Column, b: Column, cut: Column) -> tuple[Column,
 
 
 def _least_a(draw: int) -> Column:
-    """The least ln a of ``term`` rows with ``_lw`` (ln of the weight) that may be
+    """The least ln a of ``term`` and ``_seed`` rows with ``_lw`` (ln of the weight) that may be
     below ``_cut``."""
-    u1, u2 = _uniforms(F.xxhash64("term", F.lit(3 * draw)))
-    u3, u4 = _uniforms(F.xxhash64("term", F.lit(3 * draw + 1)))
-    b, _ = _uniforms(F.xxhash64("term", F.lit(3 * draw + 2)))
-    first, second = may_be_below(u1 * u2, u3 * u4, b, F.col("_cut"))
+    x, p, b = numbers(draw)
+    first, second = may_be_below(x, p, b, F.col("_cut"))
     # One condition inside the other, so that b is made only behind the first.
-    return F.min(F.when(first, F.when(second, log_a(F.col("term"), F.col("_lw"), draw))))
+    return F.min(F.when(first, F.when(second, log_a(x, p, b, F.col("_lw")))))
 
 
 def signatures(counted: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """``keys``, signature (array of ``samples`` doubles, infinite where no term is
     below the ceiling) and _ceiling, from rows of term, its count _n and _ceiling,
     which is the same in all rows of a key. See :func:`settled`."""
+    width = min(samples, BLOCK)
+    seeds = F.array(*[F.lit(3 * at) for at in range(0, samples, width)])
     weighted = counted.select(
         *keys, "term", "_ceiling", F.when(F.col("term").isNotNull(), F.log(F.col("_n").cast("double"))).alias("_lw"),
-        F.when(F.col("_n") == 1, F.col("_ceiling") * (1 + 1e-6)).otherwise(F.lit(_ANY)).alias("_cut"))  # a margin for rounding
-    return (weighted.groupBy(*keys).agg(F.min("_ceiling").alias("_ceiling"), *[_least_a(d).alias(f"_m{d}") for d in range(samples)])
-            .select(*keys, "_ceiling", F.array(*[F.coalesce(f"_m{d}", F.lit(_NONE)) for d in range(samples)]).alias("signature")))
+        F.when(F.col("_n") == 1, F.col("_ceiling") * (1 + 1e-6)).otherwise(F.lit(_ANY)).alias("_cut"),  # a margin for rounding
+        F.explode(seeds).alias("_seed"))
+    blocks = weighted.groupBy(*keys, "_seed").agg(F.min("_ceiling").alias("_ceiling"), *[_least_a(d).alias(f"_m{d}") for d in range(width)])
+    least = F.array(*[F.coalesce(f"_m{d}", F.lit(_NONE)) for d in range(width)])
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list("_block")), lambda b: b["least"]))
+    return (blocks.select(*keys, "_ceiling", F.struct("_seed", least.alias("least")).alias("_block"))
+            .groupBy(*keys).agg(F.min("_ceiling").alias("_ceiling"), F.slice(whole, 1, samples).alias("signature")))
 
 
 def settled(signature: Column) -> Column:
@@ -156,13 +167,26 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 # ----------------------------------------------------------------- successors
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of about ``BUCKET`` bytes of text, within once and eight times the
+    session's shuffle width: on short texts each further one costs the driver more
+    than it spares the tasks."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(buckets(docs.sparkSession, 1), min(buckets(docs.sparkSession, 8), size // BUCKET))
+
+
+def _longs(values: list[int]) -> Column:
+    """An array of numbers as one literal (one for each number is a column each)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def _below(cuts: list[int], value: Column) -> Column:
     """How many of the sorted ``cuts`` lie below ``value``: first over every
     s-th cut, then inside one block, so the cost is the root of their number."""
     s = max(1, math.isqrt(len(cuts)))
     heads = cuts[s - 1::s]
-    blocks = F.size(F.filter(F.lit(heads) if heads else F.array().cast("array<bigint>"), lambda x: x < value))
-    inside = F.slice(F.lit(cuts), blocks * s + 1, F.lit(s))
+    blocks = F.size(F.filter(_longs(heads), lambda x: x < value))
+    inside = F.slice(_longs(cuts), blocks * s + 1, F.lit(s))
     return blocks * s + F.size(F.filter(inside, lambda x: x < value))
 
 
@@ -179,14 +203,14 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
     firsts = {r["_bucket"]: r["m"] for r in  # one row for each bucket at most
               placed.groupBy("_bucket").agg(F.min("_ord").alias("m")).collect()}
     used = sorted(firsts)
-    least = [firsts.get(b) for b in range(len(cuts) + 1)]
+    least = [firsts.get(b, 0) for b in range(len(cuts) + 1)]  # no row asks for an empty bucket's
     host = {b: used[i - 1] for i, b in enumerate(used)}  # the first bucket's host is the last one
-    hosts = [host.get(b) for b in range(len(cuts) + 1)]
+    hosts = [host.get(b, 0) for b in range(len(cuts) + 1)]
     at = F.col("_bucket") + 1
-    is_first = F.col("_ord") == F.element_at(F.array(*[F.lit(x).cast("long") for x in least]), at)
+    is_first = F.col("_ord") == F.element_at(_longs(least), at)
     spots = F.when(is_first, F.array(
         F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")),
-        F.struct(F.element_at(F.array(*[F.lit(x).cast("int") for x in hosts]), at).alias("b"), F.lit(True).alias("g")))
+        F.struct(F.element_at(_longs(hosts), at).cast("int").alias("b"), F.lit(True).alias("g")))
     ).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g"))))
     spread = (placed.select("doc_id", "text", "_ord", F.explode(spots).alias("_s"))
               .select("doc_id", "text", "_ord", F.col("_s.b").alias("_bucket"), F.col("_s.g").alias("_guest"))
@@ -197,7 +221,8 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
 
 
 def op5_fingerprints(spark, sf_dir: str, samples: int = SAMPLES, spread: float = SPREAD) -> DataFrame:
-    rows = with_successor(table(spark, sf_dir, "documents").select("doc_id", "text"), buckets(spark, 8))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = with_successor(docs, bucket_count(docs))
     half = F.floor(F.length("text") / 2).cast("int")
     both = rows.withColumn("_edited", F.concat(F.substr("text", F.lit(1), F.length("text") - half),
                                                F.substr(F.coalesce("_next", F.lit("")), F.lit(1), half)))

@@ -269,3 +269,21 @@ def test_bound_leaves_out_most_terms_above_the_ceiling(spark):
     below = -F.log("p") * F.pow("x", 1 - F.col("b")) < F.col("cut")
     lost, looked = rows.select(F.sum((below & ~(first & second)).cast("int")), F.avg((first & second).cast("int"))).first()
     assert lost == 0 and looked < 0.35  # 0.18 are below
+
+
+def test_fingerprint_buckets_follow_the_bytes_of_text(spark):
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = "a" * (fingerprints.BUCKET // 4)
+    for rows, least, most in ((1, width, width), (8 * width, 2 * width, 2 * width), (80 * width, 8 * width, 8 * width)):
+        docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+        assert least <= fingerprints.bucket_count(docs) <= most
+
+
+def test_fingerprint_blocks_hold_all_draws(spark, monkeypatch):
+    rows = frame(spark, [(i, " ".join(f"w{(i + 3) * k % 50}" for k in range(60)), None, None, None) for i in range(4)])
+
+    def found(block):
+        monkeypatch.setattr(fingerprints, "BLOCK", block)
+        return {r.doc_id: r.signature for r in fingerprints.fingerprint(rows, samples=10).collect()}
+    one = found(64)
+    assert found(4) == one and all(len(s) == 10 == len(set(s)) for s in one.values())
